@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactspark import fixed
@@ -70,15 +70,20 @@ def institutions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bills(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with one policy sentence after its whole text."""
+def bill_text() -> Column:
+    """A document's whole text followed by one policy sentence."""
     number = (F.col("doc_id") % 19 + 1).cast("string")
     sentence = F.lit("")
     for i, text in enumerate(SENTENCES):
         filled = F.replace(F.lit(text), F.lit("{}"), number)
         sentence = F.when(F.col("doc_id") % len(SENTENCES) == i, filled).otherwise(sentence)
+    return F.concat_ws(" ", "text", sentence)
+
+
+def bills(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a bill."""
     return read_table(spark, folder, "documents").select(
-        F.col("doc_id").alias("bill_id"), F.concat_ws(" ", "text", sentence).alias("text")
+        F.col("doc_id").alias("bill_id"), bill_text().alias("text")
     )
 
 
