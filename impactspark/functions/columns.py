@@ -69,13 +69,21 @@ def mean_of(parts: Sequence[Column]) -> Column:
     return total / F.when(known > 0, known)
 
 
-def one_row(df: DataFrame, **exprs: Column) -> Column:
-    """Aggregates over a whole table as one struct-valued scalar subquery.
+def with_totals(df: DataFrame, source: DataFrame | None = None, **exprs: Column) -> DataFrame:
+    """`df` with `_top`, a struct of aggregates over the whole of `source`.
 
-    The aggregate is a single row, so it reaches the tasks as a literal and
-    needs neither a join nor an unpartitioned window.
+    The aggregate is a single row, so it reaches the tasks as a literal scalar
+    subquery and needs neither a join nor an unpartitioned window. Drop `_top`
+    after use.
     """
-    return df.agg(F.struct(*[e.alias(n) for n, e in exprs.items()]).alias("s")).scalar()
+    row = (df if source is None else source).agg(
+        F.struct(*[e.alias(n) for n, e in exprs.items()]).alias("s")
+    )
+    return df.withColumn("_top", row.scalar())
+
+
+def total(name: str) -> Column:
+    return F.col("_top")[name]
 
 
 def share_of_max(value: Column, top: Column, otherwise: float) -> Column:
@@ -83,6 +91,12 @@ def share_of_max(value: Column, top: Column, otherwise: float) -> Column:
     return F.when(top > 0, value / F.when(top > 0, top) * 100).otherwise(F.lit(float(otherwise)))
 
 
+def rest_of_max(value: Column, top: Column, otherwise: float) -> Column:
+    """100 * (1 - value / top), or a constant when top is not positive."""
+    rest = (1 - value / F.when(top > 0, top)) * 100
+    return F.when(top > 0, rest).otherwise(F.lit(float(otherwise)))
+
+
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation over complete pairs; NULL for a constant side."""
     x = F.when(b.isNotNull(), a)

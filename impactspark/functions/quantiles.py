@@ -13,6 +13,7 @@ a third of all rows is a single counter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 TOP_BITS, MIDDLE_BITS, LAST_BITS = 9, 21, 22  # 52 mantissa bits in all
 EXPONENT_SHIFT = 1100  # lifts every double exponent above zero
 GROUP_BROADCAST_ROWS = 20_000
+SORTED_ROWS = 200_000  # most rows sorted together instead of looking deeper
 
 
 def few_groups(df: DataFrame, by: Sequence[str], limit: int = GROUP_BROADCAST_ROWS) -> bool:
@@ -65,6 +67,33 @@ def _narrow(counts: DataFrame, group: list[str], digit: str) -> DataFrame:
     )
 
 
+def _cells(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per known value: its column number, itself, its first digit."""
+    named = F.array(*[F.col(c).cast("double") for c in columns])
+    cells = df.select(*by, F.posexplode(named).alias("_c", "_v"))
+    cells = cells.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    for key in by:
+        cells = cells.filter(F.col(key).isNotNull())
+    return cells.withColumn("_d1", _digits(F.col("_v"))[0])
+
+
+def _positions(probs: Sequence[float]) -> list[Column]:
+    return [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+
+
+def _first_level(cells: DataFrame, group: list[str], probs: Sequence[float]) -> DataFrame:
+    """The first digits that hold a wanted rank."""
+    ranks = F.array_distinct(
+        F.array(*[f(x).cast("long") for x in _positions(probs) for f in (F.floor, F.ceil)])
+    )
+    counts = (
+        cells.groupBy(*group, "_d1").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+        .withColumn("_want", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("rest"))))
+    )
+    return _narrow(counts, group, "_d1")
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -81,25 +110,12 @@ def exact_quantiles(
     by = list(by)
     if small_groups is None:
         small_groups = not by or few_groups(df, by)
-    named = F.array(*[F.col(c).cast("double") for c in columns])
-    cells = df.select(*by, F.posexplode(named).alias("_c", "_v"))
-    cells = cells.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    for key in by:
-        cells = cells.filter(F.col(key).isNotNull())
-    d1, d2, d3 = _digits(F.col("_v"))
-    cells = cells.withColumn("_d1", d1)
-
+    cells = _cells(df, columns, by)
+    d2, d3 = _digits(F.col("_v"))[1:]
     group = [*by, "_c"]
-    position = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    ranks = F.array_distinct(
-        F.array(*[f(x).cast("long") for x in position for f in (F.floor, F.ceil)])
+    level = _first_level(cells, group, probs).select(
+        *group, "_d1", "_total", F.col("_inside").alias("_want")
     )
-    first = (
-        cells.groupBy(*group, "_d1").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
-        .withColumn("_want", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("rest"))))
-    )
-    level = _narrow(first, group, "_d1").select(*group, "_d1", "_total", F.col("_inside").alias("_want"))
     for kept, digit, value in ((["_d1"], "_d2", d2), (["_d1", "_d2"], "_d3", d3)):
         inside = [*group, *kept]
         # without `by` this side has at most two rows per column and quantile
@@ -120,6 +136,7 @@ def exact_quantiles(
         # at most two entries per quantile
         .agg(F.map_from_entries(F.collect_list(F.struct(F.col("_w.rank"), F.col("_value")))).alias("_at"))
     )
+    position = _positions(probs)
     at = [
         (F.element_at("_at", F.floor(x).cast("long")), F.element_at("_at", F.ceil(x).cast("long")), x)
         for x in position
@@ -134,11 +151,45 @@ def exact_quantiles(
     )
 
 
-def quantile_row(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> Column:
-    """The table's quantiles as one struct: `result[column]` lists them."""
-    table = exact_quantiles(df, columns, probs)
-    picks = [F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns]
-    return table.agg(F.struct(*picks).alias("s")).scalar()
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    """The quantiles of whole columns as plain numbers; None without values.
+
+    Runs the passes at once. When the digits found by the first pass hold few
+    rows (counted, not guessed), one sorted pass over just those rows ends the
+    search; otherwise it goes on digit by digit.
+    """
+    spark = df.sparkSession
+    cells = _cells(df, columns, ())
+    first = _first_level(cells, ["_c"], probs)
+    # at most two rows per column and quantile
+    hits = first.select("_c", "_d1", "_n", "_total", "_inside").collect()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if not hits:
+        return out
+    if max(h["_n"] for h in hits) > SORTED_ROWS:
+        found = exact_quantiles(df, columns, probs).collect()
+        return out | {r["column"]: list(r["q"]) for r in found}
+    wanted = [
+        (h["_c"], h["_d1"], r["rest"] + 1, r["rank"]) for h in hits for r in h["_inside"]
+    ]
+    places = spark.createDataFrame(wanted, "_c int, _d1 long, _place int, _rank long")
+    order = Window.partitionBy("_c", "_d1").orderBy("_v")
+    inside = cells.join(F.broadcast(places.select("_c", "_d1").distinct()), ["_c", "_d1"])
+    ranked = inside.select("_c", "_d1", "_v", F.row_number().over(order).alias("_place"))
+    at = {
+        (r["_c"], r["_rank"]): r["_v"]
+        for r in ranked.join(F.broadcast(places), ["_c", "_d1", "_place"]).collect()
+    }
+    for h in hits:
+        values = []
+        for p in probs:
+            x = p * (h["_total"] - 1)
+            low, high = at.get((h["_c"], math.floor(x))), at.get((h["_c"], math.ceil(x)))
+            values.append(low if low == high else low + (high - low) * (x - math.floor(x)))
+        out[columns[h["_c"]]] = values
+    return out
 
 
 def group_quantiles(

@@ -11,11 +11,12 @@ from impactspark import fixed
 from impactspark.functions.columns import (
     has_any,
     numeric_columns,
-    one_row,
     string_columns,
     to_number,
+    total,
+    with_totals,
 )
-from impactspark.functions.quantiles import quantile_row
+from impactspark.functions.quantiles import column_quantiles
 
 ID_COLUMNS = ("institution_id",)
 
@@ -43,9 +44,9 @@ def fill_numeric(df: DataFrame, id_columns: Sequence[str] = ID_COLUMNS) -> DataF
     median = [c for c in numbers if gaps[c] and c not in zero]
     fill = {c: F.lit(0) for c in zero}
     if median:
-        middle = quantile_row(df, median, [0.5])
+        middle = column_quantiles(df, median, [0.5])
         # a whole-number column that receives a median becomes a double column
-        fill |= {c: F.coalesce(middle[c][0], F.lit(0.0)) for c in median}
+        fill |= {c: F.lit(middle[c][0] or 0.0) for c in median}
     return df.select(
         *[F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in df.columns]
     )
@@ -71,18 +72,18 @@ def rescale_percent(df: DataFrame) -> DataFrame:
     percent = [c for c in numeric_columns(df) if has_any(c, fixed.PERCENT_WORDS)]
     if not percent:
         return df
-    ends = one_row(
+    ends = with_totals(
         df,
         **{f"low_{i}": F.min(c) for i, c in enumerate(percent)},
         **{f"high_{i}": F.max(c) for i, c in enumerate(percent)},
     )
     scaled = {
-        c: F.when((ends[f"high_{i}"] <= 1) & (ends[f"low_{i}"] >= 0), F.col(c) * 100.0)
+        c: F.when((total(f"high_{i}") <= 1) & (total(f"low_{i}") >= 0), F.col(c) * 100.0)
         .otherwise(F.col(c))
         .alias(c)
         for i, c in enumerate(percent)
     }
-    return df.select(*[scaled.get(c, F.col(c)) for c in df.columns])
+    return ends.select(*[scaled.get(c, F.col(c)) for c in df.columns])
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
@@ -98,15 +99,24 @@ def coerce_numeric(df: DataFrame) -> DataFrame:
     )
 
 
-def clean(df: DataFrame, id_columns: Sequence[str] = ID_COLUMNS) -> DataFrame:
-    """All cleaning steps. The order matters: text gaps are filled before text
-    is read as numbers, so those gaps end as NULL again."""
+def prepare(df: DataFrame) -> DataFrame:
+    """Names and duplicates: the part of cleaning that needs one pass."""
+    return df.transform(normalise_names).transform(drop_duplicate_rows)
+
+
+def repair(df: DataFrame, id_columns: Sequence[str] = ID_COLUMNS) -> DataFrame:
+    """Gaps and types. The order matters: text gaps are filled before text is
+    read as numbers, so those gaps end as NULL again. Reads its input several
+    times; give it a stored table when that input is costly."""
     return (
-        df.transform(normalise_names)
-        .transform(drop_duplicate_rows)
-        .transform(fill_numeric, id_columns)
+        df.transform(fill_numeric, id_columns)
         .transform(fill_strings)
         .transform(coerce_ids, id_columns)
         .transform(rescale_percent)
         .transform(coerce_numeric)
     )
+
+
+def clean(df: DataFrame, id_columns: Sequence[str] = ID_COLUMNS) -> DataFrame:
+    """All cleaning steps."""
+    return repair(prepare(df), id_columns)

@@ -11,12 +11,13 @@ from impactspark import fixed
 from impactspark.functions.columns import (
     has_any,
     numeric_columns,
-    one_row,
     rows_per_column,
     string_columns,
     to_number,
+    total,
+    with_totals,
 )
-from impactspark.functions.quantiles import quantile_row
+from impactspark.functions.quantiles import column_quantiles
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -65,43 +66,48 @@ def sparse_numeric(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def outliers(df: DataFrame, method: str = "iqr") -> DataFrame:
-    """Columns with outliers, by quartile fences or by z-score above 3."""
+    """Columns with outliers, by quartile fences or by z-score above 3.
+
+    The quartiles are worked out first (a few numbers per column); the returned
+    table counts against them in one pass.
+    """
+    if method not in ("iqr", "zscore"):
+        raise ValueError(f"unknown method {method!r}")
     columns = numeric_columns(df)
-    quart = quantile_row(df, columns, [0.25, 0.5, 0.75])
+    quart = column_quantiles(df, columns, [0.25, 0.5, 0.75])
+    rows = df
     if method == "zscore":
-        spread = one_row(
+        rows = with_totals(
             df,
             **{f"mean_{i}": F.avg(c) for i, c in enumerate(columns)},
             **{f"std_{i}": F.stddev_samp(c) for i, c in enumerate(columns)},
         )
-    elif method != "iqr":
-        raise ValueError(f"unknown method {method!r}")
-    rows = []
+    found = []
     for i, c in enumerate(columns):
-        value, q = F.col(c).cast("double"), quart[c]
-        low = high = F.lit(None).cast("double")
-        if method == "iqr":
-            reach = (q[2] - q[0]) * 1.5
-            low, high = q[0] - reach, q[2] + reach
+        value, (q1, q2, q3) = F.col(c).cast("double"), quart[c]
+        low = high = None
+        if q1 is None:
+            odd = F.lit(False)
+        elif method == "iqr":
+            low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
             odd = (value < low) | (value > high)
         else:
-            z = F.abs(F.try_divide(value - spread[f"mean_{i}"], spread[f"std_{i}"]))
-            odd = z > 3
+            odd = F.abs(F.try_divide(value - total(f"mean_{i}"), total(f"std_{i}"))) > 3
         count = F.count_if(odd)
-        rows.append(
+        found.append(
             F.struct(
                 F.lit(c).alias("column"),
                 count.alias("outlier_count"),
                 _percent(count, F.count(F.lit(1))).alias("outlier_percentage"),
-                F.first(low).alias("lower_bound"),
-                F.first(high).alias("upper_bound"),
+                F.lit(low).cast("double").alias("lower_bound"),
+                F.lit(high).cast("double").alias("upper_bound"),
                 F.min(value).alias("min_value"),
                 F.max(value).alias("max_value"),
                 F.avg(value).alias("mean"),
-                F.first(q[1]).alias("median"),
+                F.lit(q2).cast("double").alias("median"),
             )
         )
-    return rows_per_column(df, rows).filter("outlier_count > 0")
+    return rows_per_column(rows, found).filter("outlier_count > 0")
 
 
 def range_checks(df: DataFrame) -> DataFrame:

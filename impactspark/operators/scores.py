@@ -16,8 +16,10 @@ from impactspark.functions.columns import (
     first_with,
     flag,
     mean_of,
-    one_row,
+    rest_of_max,
     share_of_max,
+    total,
+    with_totals,
 )
 
 
@@ -55,15 +57,14 @@ def stress_score(df: DataFrame) -> DataFrame:
         tops["ratio"] = F.try_divide(F.col(wage), F.col(cost) + 1)
     if not tops:
         return df.withColumn("affordability_stress_score", F.lit(0.0))
-    top = one_row(df, **{name: F.max(value) for name, value in tops.items()})
-    parts = []
-    for name, value in tops.items():
-        if name == "ratio":
-            inverse = (1 - value / F.when(top[name] > 0, top[name])) * 100
-            parts.append(F.when(top[name] > 0, inverse).otherwise(F.lit(50.0)))
-        else:
-            parts.append(share_of_max(value, top[name], 0))
-    return df.withColumn("affordability_stress_score", clip(mean_of(parts), 0, 100))
+    scored = with_totals(df, **{name: F.max(value) for name, value in tops.items()})
+    parts = [
+        rest_of_max(value, total(name), 50)
+        if name == "ratio"
+        else share_of_max(value, total(name), 0)
+        for name, value in tops.items()
+    ]
+    return scored.withColumn("affordability_stress_score", clip(mean_of(parts), 0, 100)).drop("_top")
 
 
 def equity_indicators(df: DataFrame) -> DataFrame:
@@ -92,17 +93,16 @@ def resilience_score(df: DataFrame) -> DataFrame:
     enrollment = first_with(df.columns, "enrollment")
     funding = first_with(df.columns, "funding", "dependency", every=True)
     sized = {n: c for n, c in (("enrollment", enrollment), ("funding", funding)) if c}
-    top = one_row(df, **{n: F.max(c) for n, c in sized.items()}) if sized else None
+    scored = with_totals(df, **{n: F.max(c) for n, c in sized.items()}) if sized else df
     parts = []
     if enrollment:
-        parts.append(share_of_max(F.col(enrollment), top["enrollment"], 50))
+        parts.append(share_of_max(F.col(enrollment), total("enrollment"), 50))
     if "institution_type" in df.columns:
         parts.append(_type_score())
     if funding:
-        inverse = (1 - F.col(funding) / F.when(top["funding"] > 0, top["funding"])) * 100
-        parts.append(F.when(top["funding"] > 0, inverse).otherwise(F.lit(50.0)))
+        parts.append(rest_of_max(F.col(funding), total("funding"), 50))
     score = clip(mean_of(parts), 0, 100) if parts else F.lit(50.0)
-    return df.withColumn("resilience_score", score)
+    return scored.withColumn("resilience_score", score).drop("_top")
 
 
 def enhance(df: DataFrame) -> DataFrame:
@@ -126,9 +126,9 @@ def impact_score(df: DataFrame, signed: bool = False) -> DataFrame:
         values["enrollment"] = -change if signed else -F.abs(change)
     if not values:
         return df.withColumn("affordability_impact_score", F.lit(0.0))
-    top = one_row(df, **{n: F.max(v) for n, v in values.items()})
-    parts = [share_of_max(v, top[n], 0) for n, v in values.items()]
-    return df.withColumn("affordability_impact_score", mean_of(parts))
+    scored = with_totals(df, **{n: F.max(v) for n, v in values.items()})
+    parts = [share_of_max(v, total(n), 0) for n, v in values.items()]
+    return scored.withColumn("affordability_impact_score", mean_of(parts)).drop("_top")
 
 
 def impact_resilience(df: DataFrame, k: int = 20) -> DataFrame:
@@ -142,17 +142,16 @@ def impact_resilience(df: DataFrame, k: int = 20) -> DataFrame:
         values["enrollment"] = F.col(enrollment)
     if "tuition_change_dollars" in df.columns:
         values["dollars"] = F.abs("tuition_change_dollars")
-    top = one_row(df, **{n: F.max(v) for n, v in values.items()}) if values else None
+    topped = with_totals(df, **{n: F.max(v) for n, v in values.items()}) if values else df
     parts = []
     if enrollment:
-        parts.append(share_of_max(values["enrollment"], top["enrollment"], 50))
+        parts.append(share_of_max(values["enrollment"], total("enrollment"), 50))
     if "dollars" in values:
-        inverse = (1 - values["dollars"] / F.when(top["dollars"] > 0, top["dollars"])) * 100
-        parts.append(F.when(top["dollars"] > 0, inverse).otherwise(F.lit(100.0)))
+        parts.append(rest_of_max(values["dollars"], total("dollars"), 100))
     if "institution_type" in df.columns:
         parts.append(_type_score())
     order = [F.desc_nulls_last("resilience_score"), F.asc("institution_id"), F.asc("name")]
-    scored = df.withColumn("resilience_score", mean_of(parts) if parts else F.lit(50.0))
+    scored = topped.withColumn("resilience_score", mean_of(parts) if parts else F.lit(50.0))
     best = scored.select("institution_id", "name", "resilience_score").orderBy(*order).limit(k)
     return best.withColumn("resilience_rank", F.row_number().over(Window.orderBy(*order)))
 
@@ -168,12 +167,14 @@ def state_vulnerability(df: DataFrame) -> DataFrame:
             F.count("institution_id").alias("college_count"),
         )
     )
-    top = one_row(states, impact=F.max("avg_tuition_impact"), students=F.max("total_students_affected"))
-    score = F.try_divide(F.col("avg_tuition_impact"), top["impact"]) * 50 + (
-        F.try_divide(F.col("total_students_affected"), top["students"]) * 50
+    topped = with_totals(
+        states, impact=F.max("avg_tuition_impact"), students=F.max("total_students_affected")
     )
-    scored = states.withColumn(
-        "vulnerability_score", F.when(top["impact"] > 0, score).otherwise(F.lit(0.0))
+    score = F.try_divide(F.col("avg_tuition_impact"), total("impact")) * 50 + (
+        F.try_divide(F.col("total_students_affected"), total("students")) * 50
     )
+    scored = topped.withColumn(
+        "vulnerability_score", F.when(total("impact") > 0, score).otherwise(F.lit(0.0))
+    ).drop("_top")
     order = Window.orderBy(F.desc_nulls_last("vulnerability_score"), F.asc("state"))
     return scored.withColumn("rank", F.row_number().over(order))

@@ -8,16 +8,29 @@ from itertools import batched, combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactspark.functions.columns import numeric_columns, one_row, rows_per_column, safe_corr
-from impactspark.functions.quantiles import exact_quantiles, quantile_row
+from impactspark.functions.columns import (
+    numeric_columns,
+    rows_per_column,
+    safe_corr,
+    total,
+    with_totals,
+)
+from impactspark.functions.quantiles import column_quantiles
 
 PAIRS_PER_PASS = 400  # keeps one aggregate inside the code-generation limits
 
 
-def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles, max and median of each numeric column.
+
+    The quartiles are worked out first; the rest is one pass.
+    """
+    columns = list(columns or numeric_columns(df))
+    quart = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:
         v = F.col(c).cast("double")
+        q25, q50, q75 = [F.lit(q).cast("double") for q in quart[c]]
         rows.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -25,31 +38,16 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.avg(v).alias("mean"),
                 F.stddev_samp(v).alias("std"),
                 F.min(v).alias("min"),
+                q25.alias("q25"),
+                q50.alias("q50"),
+                q75.alias("q75"),
                 F.max(v).alias("max"),
+                q50.alias("median"),
             )
         )
     return rows_per_column(df, rows)
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles, max and median of each numeric column."""
-    columns = list(columns or numeric_columns(df))
-    quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    # both sides have one row per column
-    return (
-        _moments(df, columns)
-        .join(F.broadcast(quart.select("column", "q")), "column", "left")
-        .select(
-            "column", "count", "mean", "std", "min",
-            F.col("q")[0].alias("q25"),
-            F.col("q")[1].alias("q50"),
-            F.col("q")[2].alias("q75"),
-            "max",
-            F.col("q")[1].alias("median"),
-        )
-    )
-
-
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form (column_a, column_b, correlation), over the
     pairs of rows where both are known."""
@@ -66,12 +64,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         ]
         part = rows_per_column(df, rows)
         out = part if out is None else out.unionByName(part)
-    mirrored = F.array(
-        F.struct(F.col("column_a"), F.col("column_b"), F.col("correlation")),
-        F.struct(F.col("column_b"), F.col("column_a"), F.col("correlation")),
-    )
+    value = F.col("correlation").alias("correlation")
+    pair = F.struct(F.col("column_a").alias("column_a"), F.col("column_b").alias("column_b"), value)
+    turned = F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), value)
     own = F.col("column_a") == F.col("column_b")
-    return out.select(F.inline(F.when(own, F.slice(mirrored, 1, 1)).otherwise(mirrored)))
+    return out.select(F.inline(F.when(own, F.array(pair)).otherwise(F.array(pair, turned))))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -86,20 +83,20 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bins with counts; the last bin includes the maximum. A
     constant column has one bin."""
-    ends = one_row(
+    ends = with_totals(
         df,
         **{f"low_{i}": F.min(F.col(c).cast("double")) for i, c in enumerate(columns)},
         **{f"high_{i}": F.max(F.col(c).cast("double")) for i, c in enumerate(columns)},
     )
-    cells = df.select(
+    cells = ends.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
                         F.col(c).cast("double").alias("v"),
-                        ends[f"low_{i}"].alias("low"),
-                        ends[f"high_{i}"].alias("high"),
+                        total(f"low_{i}").alias("low"),
+                        total(f"high_{i}").alias("high"),
                     )
                     for i, c in enumerate(columns)
                 ]
@@ -125,18 +122,18 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 
 def boxplot_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (furthest values inside 1.5 IQR) and outlier count."""
-    quart = quantile_row(df, columns, [0.25, 0.5, 0.75])
+    quart = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:
-        v, q = F.col(c).cast("double"), quart[c]
-        reach = (q[2] - q[0]) * 1.5
-        inside = (v >= q[0] - reach) & (v <= q[2] + reach)
+        v, (q1, q2, q3) = F.col(c).cast("double"), quart[c]
+        if q1 is None:
+            inside = F.lit(True)
+        else:
+            inside = (v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))
         rows.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.first(q[0]).alias("q25"),
-                F.first(q[1]).alias("median"),
-                F.first(q[2]).alias("q75"),
+                *[F.lit(q).cast("double").alias(n) for n, q in (("q25", q1), ("median", q2), ("q75", q3))],
                 F.min(F.when(inside, v)).alias("whisker_low"),
                 F.max(F.when(inside, v)).alias("whisker_high"),
                 F.count_if(~inside).alias("outlier_count"),
@@ -147,7 +144,9 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def score_summary(df: DataFrame, column: str = "affordability_impact_score") -> DataFrame:
     """Mean, median and maximum of a score."""
-    middle = quantile_row(df, [column], [0.5])[column][0]
-    return df.agg(F.avg(column).alias("mean"), F.max(column).alias("max")).select(
-        "mean", middle.alias("median"), "max"
+    middle = column_quantiles(df, [column], [0.5])[column][0]
+    return df.agg(
+        F.avg(column).alias("mean"),
+        F.lit(middle).cast("double").alias("median"),
+        F.max(column).alias("max"),
     )

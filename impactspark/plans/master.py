@@ -8,33 +8,42 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from impactspark.operators import quality
-from impactspark.operators.cleaning import clean
+from impactspark.operators.cleaning import prepare, repair
 from impactspark.operators.duplicates import duplicate_report
 from impactspark.operators.merging import outer_merge
 from impactspark.operators.scores import enhance
 from impactspark.operators.stats import describe
+from impactspark.sources.folders import cut_lineage
 
 
 @dataclass
 class Master:
     table: DataFrame
-    quality: dict[str, DataFrame]
+    cleaned: DataFrame
+
+    def quality(self) -> dict[str, DataFrame]:
+        return quality.quality_report(self.cleaned)
 
 
 def build_master(tables: Mapping[str, DataFrame], out: str | None = None) -> Master:
     """Merge, clean, check, score.
 
-    With `out`, the cleaned table is written once and every later step reads
-    it back; quality is measured after cleaning and before scoring.
+    The merged and the cleaned table are stored (under `out`, else as
+    checkpoints), because the steps after them read them several times.
+    Quality is measured after cleaning and before scoring.
     """
-    cleaned = clean(outer_merge(tables))
-    if out:
-        cleaned.write.mode("overwrite").parquet(f"{out}/cleaned")
-        cleaned = cleaned.sparkSession.read.parquet(f"{out}/cleaned")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        if not out:
+            return cut_lineage(df)
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return df.sparkSession.read.parquet(f"{out}/{name}")
+
+    cleaned = stored(repair(stored(prepare(outer_merge(tables)), "merged")), "cleaned")
     scored = enhance(cleaned)
     if out:
         scored.write.mode("overwrite").option("header", True).csv(f"{out}/master.csv")
-    return Master(scored, quality.quality_report(cleaned))
+    return Master(scored, cleaned)
 
 
 def profile(df: DataFrame) -> dict[str, DataFrame]:

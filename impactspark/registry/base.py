@@ -25,7 +25,7 @@ ENTRIES: dict[str, Entry] = {}
 
 
 def query(
-    name: str, sql: str | None = None, rounded: Sequence[str] = (), digits: int = 4
+    name: str, sql: str | None = None, rounded: Sequence[str] = (), digits: int = 6
 ) -> Callable[[Run], Run]:
     """Register a query. Doubles named in `rounded` are rounded alike on both
     sides, since sums of doubles depend on the order of adding."""

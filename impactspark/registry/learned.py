@@ -22,7 +22,7 @@ def mixed(spark, folder):
     return impact_view(spark, folder, MIXED)
 
 
-@query("interactions", f"SELECT institution_id, {PRODUCT_SQL} FROM ({IMPACT})", PRODUCTS, 2)
+@query("interactions", f"SELECT institution_id, {PRODUCT_SQL} FROM ({IMPACT})", PRODUCTS, 4)
 def interactions(spark, folder):
     return features.interactions(mixed(spark, folder)).select("institution_id", *PRODUCTS)
 
@@ -180,7 +180,7 @@ def split_counts(spark, folder):
 
 
 # the same models with fewer trees, so that a check of all queries stays short
-SHORT = {name: {**config, "trees": 10} for name, config in fixed.MODELS.items()}
+SHORT = {name: {**config, "trees": 5} for name, config in fixed.MODELS.items()}
 
 
 @query("model_metrics")
