@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from impactspark import fixed
 
 # ignore case, in Unicode; only \n ends a line for `.`
 FLAGS = "(?iud)"
+# a run of whitespace that is not a single blank already
+LOOSE_SPACE = r"(?U)[\s\x1c-\x1f]{2,}|[[\s\x1c-\x1f]&&[^ ]]"
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -16,6 +20,20 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(group))
 
 
+def mentions(text: Column, words: Iterable[str], low: Column | None = None) -> Column:
+    """Whether a match that needs one of the words is possible: a plain
+    substring search, much cheaper than the pattern it guards.
+
+    `low` is the lower-cased text where a caller already has it. The two Turkish i's fold to i in patterns but not in lower case, so a text
+    that holds one is always let through.
+    """
+    low = F.lower(text) if low is None else low
+    hit = text.contains("\u0130") | text.contains("\u0131")
+    for w in words:
+        hit = hit | low.contains(w)
+    return hit
+
+
 def percentages(text: Column) -> Column:
     return F.transform(matches(text, fixed.PERCENT, 1), lambda m: m.try_cast("double"))
 
@@ -53,37 +71,46 @@ def money_amounts(text: Column, mode: str = "compat") -> Column:
     return F.array_compact(F.transform(found, value))
 
 
-def first_amount(text: Column, context: str, mode: str = "compat") -> Column:
+def first_amount(
+    text: Column,
+    context: str,
+    words: Iterable[str],
+    mode: str = "compat",
+    low: Column | None = None,
+) -> Column:
     """First amount of the first context match that holds one."""
-    amounts = F.transform(matches(text, context), lambda m: F.get(money_amounts(m, mode), F.lit(0)))
+    found = F.when(mentions(text, words, low), matches(text, context))
+    amounts = F.transform(found, lambda m: F.get(money_amounts(m, mode), F.lit(0)))
     return F.get(F.array_compact(amounts), F.lit(0))
 
 
-def funding_change(text: Column) -> Column:
+def funding_change(text: Column, low: Column | None = None) -> Column:
     """Signed percentage of the first funding phrase that holds one."""
 
     def signed(m: Column) -> Column:
         size = F.abs(F.get(percentages(m), F.lit(0)))
         return F.when(F.lower(m).rlike(fixed.FUNDING_DOWN), -size).otherwise(size)
 
-    return F.get(
-        F.array_compact(F.transform(matches(text, fixed.FUNDING_CONTEXT), signed)), F.lit(0)
-    )
+    possible = mentions(text, fixed.FUNDING_WORDS, low)
+    found = F.when(possible, matches(text, fixed.FUNDING_CONTEXT))
+    return F.get(F.array_compact(F.transform(found, signed)), F.lit(0))
 
 
-def tuition_cap(text: Column, near: bool = False) -> Column:
+def tuition_cap(text: Column, near: bool = False, low: Column | None = None) -> Column:
     """First percentage of the whole text when a cap phrase occurs anywhere;
     with `near`, the first one within 100 characters after a cap phrase."""
+    possible = mentions(text, fixed.CAP_WORDS, low)
     if near:
-        spans = matches(text, fixed.CAP_PHRASE + r".{0,100}")
+        spans = F.when(possible, matches(text, fixed.CAP_PHRASE + r".{0,100}"))
         close = F.transform(spans, lambda m: F.get(percentages(m), F.lit(0)))
         return F.get(F.array_compact(close), F.lit(0))
-    return F.when(text.rlike(FLAGS + fixed.CAP_PHRASE), F.get(percentages(text), F.lit(0)))
+    capped = possible & text.rlike(FLAGS + fixed.CAP_PHRASE)
+    return F.when(capped, F.get(percentages(text), F.lit(0)))
 
 
-def institution_types(text: Column) -> Column:
+def institution_types(text: Column, low: Column | None = None) -> Column:
     """Types named in the text; all of them when none is."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     named = []
     for kind, words in fixed.TYPE_WORDS.items():
         hit = F.lit(False)
@@ -102,7 +129,7 @@ def clean_text(text: Column, repair_hyphens: bool = False) -> Column:
     line ends are gone once whitespace is collapsed.
     """
     out = F.regexp_replace(text, fixed.PAGE_FOOTER, "")
-    out = F.regexp_replace(out, fixed.BILL_HEADER, "")
+    out = F.when(out.contains(" Bill "), F.regexp_replace(out, fixed.BILL_HEADER, "")).otherwise(out)
     if repair_hyphens:
         out = F.regexp_replace(out, r"(?U)(\w)-[^\S\n]*\n\s*(\w)", "$1$2")
-    return F.trim(F.regexp_replace(out, fixed.SPACE + "+", " "))
+    return F.trim(F.regexp_replace(out, LOOSE_SPACE, " "))

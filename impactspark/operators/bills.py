@@ -18,15 +18,23 @@ def clean_bills(bills: DataFrame, repair_hyphens: bool = False) -> DataFrame:
 def extract(bills: DataFrame, mode: str = "compat", near: bool = False) -> DataFrame:
     """Parameters, types and confidence of cleaned texts. Row-wise: the whole
     text of a bill is read where it lies, nothing is shuffled."""
-    text = F.col("text")
-    found = bills.withColumns(
-        {
-            "funding_change_pct": tx.funding_change(text),
-            "min_wage_change": tx.first_amount(text, fixed.WAGE_CONTEXT, mode),
-            "childcare_subsidy": tx.first_amount(text, fixed.CHILDCARE_CONTEXT, mode),
-            "tuition_cap_pct": tx.tuition_cap(text, near),
-            "affected_types": tx.institution_types(text),
-        }
+    text, low = F.col("text"), F.col("_low")
+    found = (
+        bills.withColumn("_low", F.lower("text"))  # once, for all the searches
+        .withColumns(
+            {
+                "funding_change_pct": tx.funding_change(text, low),
+                "min_wage_change": tx.first_amount(
+                    text, fixed.WAGE_CONTEXT, fixed.WAGE_WORDS, mode, low
+                ),
+                "childcare_subsidy": tx.first_amount(
+                    text, fixed.CHILDCARE_CONTEXT, fixed.CHILDCARE_WORDS, mode, low
+                ),
+                "tuition_cap_pct": tx.tuition_cap(text, near, low),
+                "affected_types": tx.institution_types(text, low),
+            }
+        )
+        .drop("_low")
     )
     points = F.lit(float(fixed.CONFIDENCE_POINTS["affected_types"]))
     for name in NUMBERS:

@@ -13,6 +13,7 @@ from impactspark.operators.bills import process_bills
 from impactspark.operators.learning import ModelSet, score
 from impactspark.operators.outcomes import outcomes
 from impactspark.sources import sinks
+from impactspark.sources.folders import cut_lineage
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -51,10 +52,15 @@ def predict_impact(
     states: Sequence[str] | None = None,
 ) -> DataFrame:
     """The same for a table of bill texts, for all bills at once. A bill
-    without text names nobody and has no rows."""
-    params = process_bills(bills).filter(F.col("affected_types").isNotNull())
+    without text names nobody and has no rows.
+
+    The parameters (a few numbers per bill) are checkpointed, so the texts are
+    read once however often the pairs are.
+    """
     keep = ["bill_id", *impact.fixed.POLICY_NUMBERS, "affected_types"]
-    return scenario_impact(master, params.select(*keep), predict, states)
+    params = cut_lineage(process_bills(bills).select(*keep))
+    known = params.filter(F.col("affected_types").isNotNull())
+    return scenario_impact(master, known, predict, states)
 
 
 def analyze_scenario(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, DataFrame]:

@@ -279,7 +279,7 @@ def group_stats(spark, folder):
       stddev_samp(l_extendedprice) AS l_extendedprice_std, sum(l_extendedprice) AS l_extendedprice_sum,
       max(l_tax) AS l_tax_max FROM lineitem GROUP BY ALL""",
     ("l_quantity_mean", "l_extendedprice_median", "l_extendedprice_std", "l_extendedprice_sum"),
-    2,
+    4,
 )
 def lineitem_group_stats(spark, folder):
     rows = spark.read.parquet(f"{folder}/lineitem.parquet")
