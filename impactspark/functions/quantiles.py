@@ -199,3 +199,41 @@ def group_quantiles(
     table = exact_quantiles(df, columns, [prob], by, small_groups)
     picks = [F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(c) for c in columns]
     return table.groupBy(*by).agg(*picks)
+
+
+def with_rank(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Rank by `value`, largest first, ties sharing a place, NULLs last.
+
+    Counts the rows above each distinct value digit by digit, so no window
+    holds more than the values that share their leading digits; equal values
+    are one counter however many rows have them.
+    """
+    rows = df.withColumn("_v", value.cast("double") + 0.0)
+    d1, d2, _ = _digits(F.col("_v"))
+    counts = (
+        rows.filter(F.col("_v").isNotNull())
+        .groupBy("_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_d1": d1, "_d2": d2})
+    )
+
+    def above(parts: DataFrame, inside: list[str], key: str, alias: str) -> DataFrame:
+        larger = Window.partitionBy(*inside) if inside else Window.partitionBy()
+        larger = larger.orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, -1)
+        return parts.withColumn(alias, F.coalesce(F.sum("_n").over(larger), F.lit(0)))
+
+    # one row per leading digit: a few million at most
+    tops = above(counts.groupBy("_d1").agg(F.sum("_n").alias("_n")), [], "_d1", "_a1")
+    middles = above(counts.groupBy("_d1", "_d2").agg(F.sum("_n").alias("_n")), ["_d1"], "_d2", "_a2")
+    values = above(counts, ["_d1", "_d2"], "_v", "_a3")
+    places = (
+        values.join(tops.select("_d1", "_a1"), "_d1")
+        .join(middles.select("_d1", "_d2", "_a2"), ["_d1", "_d2"])
+        .select("_v", (F.col("_a1") + F.col("_a2") + F.col("_a3") + 1).alias(name))
+    )
+    known = F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0))
+    return (
+        rows.join(places, "_v", "left")
+        .withColumn(name, F.coalesce(F.col(name), known + 1))
+        .drop("_v")
+    )

@@ -5,12 +5,12 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactspark import fixed
 from impactspark.functions.columns import has_any, numeric_columns
-from impactspark.functions.quantiles import few_groups, group_quantiles
+from impactspark.functions.quantiles import few_groups, group_quantiles, with_rank
 
 log = logging.getLogger(__name__)
 DEFAULT_STATS = ("mean", "median", "std", "min", "max", "count")
@@ -109,12 +109,10 @@ def state_lod(df: DataFrame) -> DataFrame:
 
 
 def rank_groups(df: DataFrame, by: str, measure: str) -> DataFrame:
-    """Groups ranked by a summed measure, equal sums sharing a rank. The rank
-    runs over one row per group."""
+    """Groups ranked by a summed measure, equal sums sharing a rank."""
     totals = df.groupBy(by).agg(F.sum(measure).alias("total"))
     # equal on paper must be equal here, whatever the order of summing
-    order = Window.orderBy(F.desc_nulls_last(F.round("total", 6)))
-    return totals.withColumn("impact_rank", F.rank().over(order))
+    return with_rank(totals, F.round("total", 6), "impact_rank")
 
 
 def compare_scenarios(df: DataFrame, scenario_col: str = "scenario") -> DataFrame:
@@ -199,9 +197,10 @@ def band_impact(df: DataFrame, share: str = "pct_low_income") -> DataFrame:
 
 
 def join_equity(predictions: DataFrame, equity: DataFrame, how: str = "left") -> DataFrame:
-    """Predictions with the totals of their risk class (at most one row per
-    class name, so the class table is broadcast)."""
-    return predictions.join(F.broadcast(equity), "equity_risk_class", how)
+    """Predictions with the totals of their risk class. The class table is
+    broadcast when its length, normally three, has been checked."""
+    side = F.broadcast(equity) if few_groups(equity, ["equity_risk_class"]) else equity
+    return predictions.join(side, "equity_risk_class", how)
 
 
 def with_coords(df: DataFrame, coords: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from impactspark import fixed
 from impactspark.functions.columns import first_present
 
 POLICY_BROADCAST_ROWS = 10_000
-POLICY_SALTS = 32
+POLICY_SALTS = 32  # fewest places a longer policy list is spread over
 ALL_TYPES = "*"
 
 
@@ -70,14 +70,21 @@ def attach_policies(df: DataFrame, policies: DataFrame, case_insensitive: bool =
     labels = F.when(F.size(lists) > 0, labels).otherwise(F.array(F.lit(ALL_TYPES)))
     wanted = policies.withColumn("_label", F.explode(labels)).drop("affected_types")
     kind = F.lower("institution_type") if case_insensitive else F.col("institution_type")
-    # an institution answers to its own type and to the label for all types
-    offers = df.withColumn("_label", F.explode(F.array_compact(F.array(kind, F.lit(ALL_TYPES)))))
-    if policies.limit(POLICY_BROADCAST_ROWS + 1).count() <= POLICY_BROADCAST_ROWS:
+    probe = policies.select("affected_types").limit(POLICY_BROADCAST_ROWS + 1)
+    seen = probe.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(lists) == 0).alias("open")).first()
+    small = seen["n"] <= POLICY_BROADCAST_ROWS
+    if small and not seen["open"]:
+        offers = df.withColumn("_label", kind)
+    else:  # an institution also answers to the label for all types
+        both = F.array_compact(F.array(kind, F.lit(ALL_TYPES)))
+        offers = df.withColumn("_label", F.explode(both))
+    if small:
         return offers.join(F.broadcast(wanted), "_label").drop("_label")
-    salt = F.pmod(F.xxhash64(*[c for c in wanted.columns if c != "_label"]), F.lit(POLICY_SALTS))
-    salts = F.sequence(F.lit(0).cast("long"), F.lit(POLICY_SALTS - 1).cast("long"))
+    # about as many policies meet in one place as would be broadcast
+    salts = max(POLICY_SALTS, policies.count() // max(POLICY_BROADCAST_ROWS, 1))
+    salt = F.pmod(F.xxhash64(*[c for c in wanted.columns if c != "_label"]), F.lit(salts))
     return (
-        offers.withColumn("_salt", F.explode(salts))
+        offers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         .join(wanted.withColumn("_salt", salt), ["_label", "_salt"])
         .drop("_label", "_salt")
     )

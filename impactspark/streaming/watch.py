@@ -18,8 +18,9 @@ STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
 
 def file_bills(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """A stream with one row per new text file; the whole file is its text."""
-    files = spark.readStream.option("pathGlobFilter", glob).option("wholetext", True).text(folder)
+    """A stream with one row per new text file; the whole file is its text.
+    Spark passes over files of zero bytes, which hold no bill."""
+    files = spark.readStream.option("pathGlobFilter", glob).text(folder, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_name"), STEM, 1)
     return files.select(
         stem.alias("bill_id"),

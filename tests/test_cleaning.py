@@ -81,7 +81,7 @@ def test_configured_key_wins():
 
 LEFT = pd.DataFrame({"institution_id": [1, 1, 2, None, 5], "price": [1.0, 2.0, 3.0, 4.0, 5.0]})
 RIGHT = pd.DataFrame({"institution_id": [1, 1, 3, None], "price": [9.0, 8.0, 7.0, 6.0], "size": [1, 2, 3, 4]})
-THIRD = pd.DataFrame({"institution_id": [3, 8], "size": [30, 80]})
+THIRD = pd.DataFrame({"institution_id": [3.0, 8.0], "size": [30, 80]})
 
 
 def test_outer_merge_like_pandas(spark):

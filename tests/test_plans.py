@@ -66,7 +66,7 @@ def test_each_file_is_published_once(spark, people, tmp_path):
     put(inbox, "ignored.pdf", "budget 5% cut")
     run(spark, inbox, people, tmp_path)
     put(inbox, "second.txt", "The budget has 4% to add for every private college.")
-    put(inbox, "empty.txt", "")
+    put(inbox, "empty.txt", " \n")
     run(spark, inbox, people, tmp_path)
     run(spark, inbox, people, tmp_path)
     params = {r.scenario: r for r in spark.read.parquet(f"{tmp_path}/out/params").collect()}

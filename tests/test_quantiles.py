@@ -69,3 +69,15 @@ def test_few_groups(spark):
     df = spark.range(50).withColumnRenamed("id", "k")
     assert quantiles.few_groups(df, ["k"], 50)
     assert not quantiles.few_groups(df, ["k"], 49)
+
+
+def test_rank_like_pandas(spark, frame):
+    pdf = frame.assign(id=range(len(frame)))
+    df = spark.createDataFrame(pdf[["id", *COLUMNS]])
+    from pyspark.sql import functions as F
+
+    for c in COLUMNS:
+        ranked = quantiles.with_rank(df.withColumn("v", F.nanvl(c, F.lit(None))), F.col("v"), "r")
+        found = ranked.select("id", "r").toPandas().sort_values("id")["r"].tolist()
+        want = pdf[c].rank(method="min", ascending=False, na_option="bottom").astype(int).tolist()
+        assert found == want
