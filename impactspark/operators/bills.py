@@ -19,21 +19,21 @@ def extract(bills: DataFrame, mode: str = "compat", near: bool = False) -> DataF
     """Parameters, types and confidence of cleaned texts. Row-wise: the whole
     text of a bill is read where it lies, nothing is shuffled."""
     text, low = F.col("text"), F.col("_low")
+    params = {
+        "funding_change_pct": tx.funding_change(text, low),
+        "min_wage_change": tx.first_amount(text, fixed.WAGE_CONTEXT, fixed.WAGE_WORDS, mode, low),
+        "childcare_subsidy": tx.first_amount(
+            text, fixed.CHILDCARE_CONTEXT, fixed.CHILDCARE_WORDS, mode, low
+        ),
+        "tuition_cap_pct": tx.tuition_cap(text, near, low),
+        "affected_types": tx.institution_types(text, low),
+    }
+    record = F.struct(*[e.alias(n) for n, e in params.items()])
     found = (
         bills.withColumn("_low", F.lower("text"))  # once, for all the searches
-        .withColumns(
-            {
-                "funding_change_pct": tx.funding_change(text, low),
-                "min_wage_change": tx.first_amount(
-                    text, fixed.WAGE_CONTEXT, fixed.WAGE_WORDS, mode, low
-                ),
-                "childcare_subsidy": tx.first_amount(
-                    text, fixed.CHILDCARE_CONTEXT, fixed.CHILDCARE_WORDS, mode, low
-                ),
-                "tuition_cap_pct": tx.tuition_cap(text, near, low),
-                "affected_types": tx.institution_types(text, low),
-            }
-        )
+        # one generated row per bill: a later filter on a parameter stays above
+        # it instead of running the searches a second time inside the filter
+        .select("*", F.inline(F.array(record)))
         .drop("_low")
     )
     points = F.lit(float(fixed.CONFIDENCE_POINTS["affected_types"]))
@@ -42,25 +42,29 @@ def extract(bills: DataFrame, mode: str = "compat", near: bool = False) -> DataF
     return found.withColumn("confidence_score", F.least(points, F.lit(100.0)))
 
 
-def apply_overrides(params: DataFrame, overrides: DataFrame, key: str = "bill_id") -> DataFrame:
+def apply_overrides(
+    params: DataFrame, overrides: DataFrame, key: str = "bill_id", threshold: float | None = None
+) -> DataFrame:
     """External parameters win where they say something; a bill that gets any
-    has confidence 85 and method `override`."""
+    has confidence 85 and method `override`. With a threshold, only bills
+    whose own confidence lies below it are open to them."""
     fields = [*NUMBERS, "affected_types"]
     side = overrides.select(
         key, F.lit(True).alias("_given"), *[F.col(c).alias(f"_{c}") for c in fields if c in overrides.columns]
     )
     joined = params.join(side, key, "left")
+    given = F.col("_given")
+    if threshold is not None:
+        given = given & (F.col("confidence_score") < threshold)
     out = {}
     for c in fields:
         if f"_{c}" in joined.columns:
-            mine, theirs = F.col(c), F.col(f"_{c}")
+            theirs = F.col(f"_{c}")
             if c == "affected_types":
                 theirs = F.when(F.size(theirs) > 0, theirs)
-            out[c] = F.coalesce(theirs, mine)
-    out["confidence_score"] = F.when(F.col("_given"), fixed.CONFIDENCE_AFTER_OVERRIDE).otherwise(
-        F.col("confidence_score")
-    )
-    out["extraction_method"] = F.when(F.col("_given"), "override").otherwise(F.col("extraction_method"))
+            out[c] = F.coalesce(F.when(given, theirs), F.col(c))
+    out["confidence_score"] = F.when(given, fixed.CONFIDENCE_AFTER_OVERRIDE).otherwise(F.col("confidence_score"))
+    out["extraction_method"] = F.when(given, "override").otherwise(F.col("extraction_method"))
     return joined.withColumns(out).select(*params.columns)
 
 
@@ -85,10 +89,7 @@ def process_bills(
             "extraction_method": F.when(known, "rule_based"),
         }
     ).drop("text")
-    if overrides is None:
-        return params
-    unsure = params.filter(F.col("confidence_score") < threshold).select("bill_id")
-    return apply_overrides(params, overrides.join(unsure, "bill_id", "left_semi"))
+    return params if overrides is None else apply_overrides(params, overrides, threshold=threshold)
 
 
 def needs_review(params: DataFrame, threshold: float = fixed.REVIEW_THRESHOLD) -> DataFrame:

@@ -28,18 +28,20 @@ def query(
     name: str, sql: str | None = None, rounded: Sequence[str] = (), digits: int = 6
 ) -> Callable[[Run], Run]:
     """Register a query. Doubles named in `rounded` are rounded alike on both
-    sides, since sums of doubles depend on the order of adding."""
+    sides, since sums of doubles depend on the order of adding. A nudge far
+    below the last digit keeps values that end in an exact 5 on one side."""
     columns = list(rounded)
+    nudge = 10.0 ** -(digits + 2)
 
     def wrap(run: Run) -> Run:
         def rounded_run(spark: SparkSession, folder: str) -> DataFrame:
             df = run(spark, folder)
-            return df.withColumns({c: F.round(c, digits) for c in columns}) if columns else df
+            return df.withColumns({c: F.round(F.col(c) + nudge, digits) for c in columns}) if columns else df
 
         text = sql
         if text is not None and columns:
             # adding zero turns a rounded -0.0 into 0.0
-            swaps = ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in columns)
+            swaps = ", ".join(f"round({c} + {nudge!r}, {digits}) + 0e0 AS {c}" for c in columns)
             text = f"SELECT * REPLACE ({swaps}) FROM ({text})"
         ENTRIES[name] = Entry(rounded_run, text)
         return run

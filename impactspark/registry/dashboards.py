@@ -30,7 +30,6 @@ def mixed(spark, folder):
       count(*) FILTER (equity_risk_class = 'Medium') AS medium_risk_colleges,
       count(*) FILTER (equity_risk_class = 'High') AS high_risk_colleges FROM ({IMPACT})""",
     ("total_students", "avg_tuition_change"),
-    5,
 )
 def kpis(spark, folder):
     return groups.kpis(mixed(spark, folder))
@@ -57,7 +56,6 @@ def band_impact_minority(spark, folder):
     f"""SELECT institution_id, state, sum(students_affected) OVER (PARTITION BY state) AS state_students_affected,
       avg(tuition_change_dollars) OVER (PARTITION BY state) AS state_avg_tuition_change FROM ({IMPACT})""",
     ("state_students_affected", "state_avg_tuition_change"),
-    5,
 )
 def lod_state(spark, folder):
     rows = groups.state_lod(mixed(spark, folder))
@@ -69,7 +67,6 @@ def lod_state(spark, folder):
     f"""SELECT state, total, rank() OVER (ORDER BY round(total, 6) DESC NULLS LAST) AS impact_rank
       FROM (SELECT state, sum(tuition_change_dollars) AS total FROM ({IMPACT}) GROUP BY state)""",
     ("total",),
-    5,
 )
 def rank_state(spark, folder):
     return groups.rank_groups(mixed(spark, folder), "state", "tuition_change_dollars")

@@ -213,7 +213,6 @@ def bill_impact(spark, folder):
     f"""SELECT CAST(bill_id AS VARCHAR) || '_0' AS scenario, equity_risk_class, count(institution_id) AS college_count,
       avg(tuition_change_dollars) AS avg_tuition_change FROM ({BILL_IMPACT}) GROUP BY ALL""",
     ("avg_tuition_change",),
-    5,
 )
 def stream_publish(spark, folder):
     """The document file arrives in a watched folder; its bills are published

@@ -52,7 +52,6 @@ def csv_scan(spark, folder):
         for n, p in (("cut", CUT), ("mixed", MIXED))
     ),
     ("avg_tuition_change", "total_students_affected"),
-    5,
 )
 def scenario_files(spark, folder):
     """Two exported scenarios, compared from their files."""
@@ -69,7 +68,6 @@ def scenario_files(spark, folder):
     f"SELECT equity_risk_class, {EQUITY_SELECT} FROM ({grid_sql()}) "
     "WHERE scenario = 'performance_based_funding' GROUP BY 1",
     EQUITY_DOUBLES,
-    5,
 )
 def published_equity(spark, folder):
     """A full scenario run, read back from the current snapshot."""
