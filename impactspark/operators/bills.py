@@ -28,13 +28,12 @@ def extract(bills: DataFrame, mode: str = "compat", near: bool = False) -> DataF
         "tuition_cap_pct": tx.tuition_cap(text, near, low),
         "affected_types": tx.institution_types(text, low),
     }
-    record = F.struct(*[e.alias(n) for n, e in params.items()])
     found = (
         bills.withColumn("_low", F.lower("text"))  # once, for all the searches
+        .withColumn("_record", F.struct(*[e.alias(n) for n, e in params.items()]))
         # one generated row per bill: a later filter on a parameter stays above
         # it instead of running the searches a second time inside the filter
-        .select("*", F.inline(F.array(record)))
-        .drop("_low")
+        .select(*bills.columns, F.inline(F.array("_record")))
     )
     points = F.lit(float(fixed.CONFIDENCE_POINTS["affected_types"]))
     for name in NUMBERS:
