@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import Memo, whole_text
+from impactspark.llm.common import Memo, ship, whole_text
 
 NEVER = 1 << 30
 END = 256  # the symbol after the last byte of a word
@@ -219,6 +219,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     alike. Columns of the same names as the results are replaced.
     """
     spark = docs.sparkSession
+    ship(spark)
     # a vocabulary file: its size does not depend on the data
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Hashable
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,24 @@ from impactspark.sources.scan import read_table
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package's code, wherever the driver imported it
+    from: Spark serves the archive to every executor, later ones too."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 

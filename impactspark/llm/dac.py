@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import Memo, stored, whole_text
+from impactspark.llm.common import Memo, ship, stored, whole_text
 from impactspark.llm.files import attempt_name, make_folder, opened, written
 from impactspark.sources.folders import fresh_dir
 
@@ -193,6 +193,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_ids: i
     alone. A task holds one file's ids at a time.
     """
     spark = docs.sparkSession
+    ship(spark)
     make_folder(folder)
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     end = np.array([end_id], "<u4").tobytes()
@@ -253,6 +254,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         }
                     )
 
+    ship(manifest.sparkSession)
     # one file per task, as far as there are tasks
     spread = with_starts(manifest).select("path", "base").repartition(F.col("path"))
     return spread.mapInPandas(run, "doc_id long, start long, ids binary")
