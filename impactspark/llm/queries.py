@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, simhash
+from impactspark.llm import bpe, dac, mixing, simhash
 from impactspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,14 @@ def op2_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query
+def op4_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op4_sainte_lague"] = mixing.sql()
+
+
 @query
 def op6_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(WORD_BPE))
