@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, mixing, simhash
+from impactspark.llm import bpe, dac, mixing, quality, simhash
 from impactspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,15 @@ def op6_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op7_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(documents(spark, folder))
+    return found.select("doc_id", *quality.NUMBERS, "base_failed", "kept", "n_boilerplate_words")
+
+
+ORACLES["op7_line_frequency"] = quality.sql()
+
+
 @query
 def op8_id_levels(spark: SparkSession, folder: str) -> DataFrame:
     return dac.documents_of_files(spark, documents(spark, folder), public_tokenizers.path(WORD_BPE), END_ID)
