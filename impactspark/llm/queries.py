@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, mixing, quality, simhash
+from impactspark.llm import bpe, dac, mixing, nbsvm, quality, simhash
 from impactspark.llm.common import documents
+from impactspark.sources.scan import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,9 @@ ORACLES["op7_line_frequency"] = quality.sql()
 @query
 def op8_id_levels(spark: SparkSession, folder: str) -> DataFrame:
     return dac.documents_of_files(spark, documents(spark, folder), public_tokenizers.path(WORD_BPE), END_ID)
+
+
+@query
+def op9_nb_svm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return nbsvm.scored(docs, nbsvm.train(docs, read_table(spark, folder, "labels")))
