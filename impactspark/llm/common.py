@@ -57,7 +57,7 @@ class Memo(dict):
     the old one, and what is asked for again moves back. Values are a pure
     function of the key, so the bound has no effect on results."""
 
-    def __init__(self, make: Callable[[Hashable], Any], limit: int = 200_000):
+    def __init__(self, make: Callable[[Hashable], Any], limit: int = 100_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
