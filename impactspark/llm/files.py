@@ -29,7 +29,7 @@ def attempt_name(label: str, suffix: str) -> str:
 @contextmanager
 def written(path: str):
     system, place = file_system(path)
-    with system.open_output_stream(place) as out:
+    with system.open_output_stream(place, compression=None) as out:
         yield out
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, mixing, nbsvm, quality, simhash
+from impactspark.llm import bpe, dac, html, mixing, nbsvm, quality, simhash, warc
 from impactspark.llm.common import documents
 from impactspark.sources.scan import read_table
 
@@ -24,6 +24,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.extract(read_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op2_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder), budget=2, words=3)
@@ -39,6 +45,20 @@ def op4_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op4_sainte_lague"] = mixing.sql()
 
 
+@query
+def op5_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, folder, "pages")).drop("payload", "url")
+
+
+ORACLES["op5_warc_normaliser"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.MIN_REVISIT} GROUP BY payload_digest),
+j AS (SELECT p.*, CASE WHEN first <> p.page_id OR (first IS NOT NULL AND p.page_id IS NULL) THEN first END AS refers_to
+  FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= {warc.MIN_REVISIT})
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j
+"""
+
+
 @query
 def op6_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), public_tokenizers.path(WORD_BPE))
