@@ -129,8 +129,8 @@ def decided(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2(F.encode("payload", "UTF-8"), 256))
     large = rows.filter(F.col("payload_bytes") >= MIN_REVISIT)
     # only digests met more than once go on; per digest one row
-    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, (F.col("payload_bytes") >= MIN_REVISIT) & (rows["payload_digest"] == first["payload_digest"]), "left").drop(first["payload_digest"])
+    first = large.groupBy(F.col("payload_digest").alias("__digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    joined = rows.join(first, (F.col("payload_bytes") >= MIN_REVISIT) & (F.col("payload_digest") == F.col("__digest")), "left").drop("__digest")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
