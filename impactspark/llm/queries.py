@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, html, mixing, nbsvm, quality, simhash, warc
+from impactspark.llm import bpe, dac, html, lsh, mixing, nbsvm, quality, simhash, warc
 from impactspark.llm.common import documents
 from impactspark.sources.scan import read_table
 
@@ -82,3 +82,9 @@ def op8_id_levels(spark: SparkSession, folder: str) -> DataFrame:
 def op9_nb_svm(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return nbsvm.scored(docs, nbsvm.train(docs, read_table(spark, folder, "labels")))
+
+
+@query
+def op10_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    return lsh.nearest(rows, F.col("vec_id") % 50 == 0, k=5)
