@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, html, lsh, mixing, nbsvm, quality, simhash, warc
+from impactspark.llm import bpe, dac, html, lsh, mixing, nbsvm, quality, secrets, simhash, warc
 from impactspark.llm.common import documents
 from impactspark.sources.scan import read_table
 
@@ -37,6 +37,19 @@ def op2_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query
+def op3_char_network(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "net")
+    return found.select(
+        "doc_id", of_kind("assign").alias("n_assign"), of_kind("access").alias("n_access"), of_kind("hex").alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_sainte_lague(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
