@@ -1,16 +1,61 @@
-"""A corpus from raw documents to token ids."""
+"""A corpus from raw documents to token ids.
+
+Each stage works on all rows the one before kept, and its result is written as
+Parquet and read again for the next. All but the last return the columns of
+`documents`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from impactspark.llm import bpe, mixing, quality, secrets, simhash
 from impactspark.llm.common import documents, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the rules reject go, and so do frequent lines of the others."""
+    return quality.cleaned(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies stays."""
+    return simhash.deduplicated(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced; no document goes."""
+    return secrets.redacted(docs, secrets.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per pass over a document that the mix takes, with the words taken."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit), and digests of them and of the decoded text."""
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids="ids", decoded="decoded")
+    return coded.select(
+        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+# fingerprints, the network and the automaton are beyond SQL; tests/llm check the stages
 ORACLE_SQL = None
 
 

@@ -115,8 +115,8 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), block: int = BLOCK_WORDS, sh
         "shards", F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1))
     )
     sources = stored(sources.select("source", "pos", "source_size", "target", "quota", "shards"), "sources")
-    named = sources.select("source", "pos", "shards")
-    keyed = lambda df: df.join(named, df["__source"].eqNullSafe(named["source"])).drop("source").withColumn("shard", _hex_number(F.col("__h")) % F.col("shards"))
+    named = sources.select(F.col("source").alias("__name"), "pos", "shards")
+    keyed = lambda df: df.join(named, df["__source"].eqNullSafe(named["__name"])).drop("__name").withColumn("shard", _hex_number(F.col("__h")) % F.col("shards"))
     cells = keyed(narrow).groupBy("pos", "shard").agg(F.sum("size").alias("cell"))
     cells = seats(cells.join(sources.withColumnRenamed("quota", "__k"), "pos"), ("pos",), "shard", "cell", "__k")
     take = F.least(F.col("quota") * block, F.col("cell") * MOST_TIMES)

@@ -34,31 +34,44 @@ PORTION = 200_000  # node pairs taken together
 NAMELESS = 3 << 61  # ids from here on stand for rows without doc_id
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """A bit is set if it is set in over half of the shingles' hashes."""
+def _shingles(text: str, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The lower-cased, space-joined words and where each shingle is in them;
+    fewer words than a shingle has are one, no words are none."""
     parts = text.encode().lower().split()  # A-Z only; ASCII white space
     if not parts:
-        return 0
+        return b"", [], []
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     last = ends[words - 1 :].tolist() if len(parts) >= words else [len(joined)]
+    return joined, starts[: len(last)], last
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, last, strict=False)], ">u8")
+    joined, starts, ends = _shingles(text, words)
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(text: str, words: int = 3, distinct: bool = False) -> int:
+    """A bit is set if it is set in over half of the shingles' hashes, repeats
+    included unless `distinct`."""
+    hashes = shingle_hashes(text, words)
+    hashes = (np.unique(hashes) if distinct else hashes).astype(">u8")
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, distinct: bool = False) -> DataFrame:
     """Add `fp`, the fingerprint's 64 bits as a signed long."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint(t, words, distinct) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn("fp", run(whole_text(text)))
 
@@ -254,11 +267,59 @@ def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3) -> DataFra
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = stored(fingerprints(rows, words=words).select("doc_id", "fp"), "fingerprints")
-    # a fingerprint of rows without doc_id still joins others: order it last
+    named = classes(marked, budget).select("fp", F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def classes(marked: DataFrame, budget: int) -> DataFrame:
+    """The class of each fingerprint of `marked` (doc_id, fp): fp, root. A root
+    is the smallest doc_id, or from NAMELESS on where no row of it has one."""
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # a fingerprint of rows without doc_id still joins others: order it last
     known = F.coalesce("least", F.lit(NAMELESS) + F.monotonically_increasing_id())
     nodes = stored(least.select("fp", known.alias("id")), "nodes")
     roots = components(links(nodes, budget, forest=True), "a", "b")
-    root = F.coalesce("root", "id")
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.when(root < NAMELESS, root).alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
+
+
+def deduplicated(docs: DataFrame, budget: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` (doc_id, text, ...) with one row of each group of copies, by the
+    smallest doc_id. Same columns.
+
+    Fingerprints are taken over the distinct single words, whose bits an edit
+    moves least, and classes of linked fingerprints are then checked exactly: a
+    row goes if its shingles of `words` words have at least `similarity` in
+    common (Jaccard) with those of a row that stays. Rows of a class that are
+    not so similar to its first row go on to a next round among themselves, so
+    none is dropped for a link that is only one of bits. Empty texts are alike.
+    """
+    rows = fingerprints(docs.withColumn("__id", F.col("doc_id").cast("long")), words=1, distinct=True)
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
+    named = stored(classes(rows.select(F.col("__id").alias("doc_id"), "fp"), budget), "classes")
+    placed = rows.select("fp", "__row").join(named, "fp").select("root", "__row")
+    shared = placed.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("root")
+    members = stored(placed.join(shared, "root"), "members")
+
+    @F.pandas_udf("array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts], dtype="object")
+
+    first = F.struct(F.col("__id").isNull().alias("nameless"), F.col("__id").alias("id"), "__row")
+    open_rows = rows.join(members, "__row").select("root", "__row", first.alias("__first"), hashes(whole_text()).alias("__s"))
+    gone = None
+    while True:
+        open_rows = stored(open_rows, "open")
+        if open_rows.isEmpty():
+            break
+        leaders = open_rows.groupBy("root").agg(F.min("__first").alias("__lead")).select(F.col("__lead")["__row"].alias("__lead"))
+        lead = open_rows.join(leaders, open_rows["__row"] == leaders["__lead"]).select("root", "__lead", F.col("__s").alias("__ls"))
+        both = F.size(F.array_intersect("__s", "__ls"))
+        either = F.size("__s") + F.size("__ls") - both
+        beside = open_rows.join(lead, "root").filter("__row != __lead").withColumn("__alike", (either == 0) | (both >= similarity * either))
+        beside = stored(beside.select("root", "__row", "__first", "__s", "__alike"), "beside")
+        out = beside.filter("__alike").select("__row")
+        gone = out if gone is None else gone.unionByName(out)
+        open_rows = beside.filter("NOT __alike").drop("__alike")
+    kept = rows if gone is None else rows.join(gone, "__row", "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
