@@ -70,7 +70,7 @@ class Line:
 def _furnishes(name: str, rest: str) -> bool:
     if name in FURNITURE:
         return True
-    if "=" not in rest or name in ("body", "html", "article", "main"):
+    if not rest or name in ("body", "html", "article", "main"):
         return False
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values).lower()

@@ -293,7 +293,9 @@ def deduplicated(docs: DataFrame, budget: int = 3, words: int = 5, similarity: f
     not so similar to its first row go on to a next round among themselves, so
     none is dropped for a link that is only one of bits. Empty texts are alike.
     """
-    rows = fingerprints(docs.withColumn("__id", F.col("doc_id").cast("long")), words=1, distinct=True)
+    # the row itself in one column, so that no name of its own clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").cast("long").alias("__id"))
+    rows = fingerprints(rows, "__doc.text", words=1, distinct=True)
     rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
     named = stored(classes(rows.select(F.col("__id").alias("doc_id"), "fp"), budget), "classes")
     placed = rows.select("fp", "__row").join(named, "fp").select("root", "__row")
@@ -306,7 +308,7 @@ def deduplicated(docs: DataFrame, budget: int = 3, words: int = 5, similarity: f
             yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts], dtype="object")
 
     first = F.struct(F.col("__id").isNull().alias("nameless"), F.col("__id").alias("id"), "__row")
-    open_rows = rows.join(members, "__row").select("root", "__row", first.alias("__first"), hashes(whole_text()).alias("__s"))
+    open_rows = rows.join(members, "__row").select("root", "__row", first.alias("__first"), hashes(whole_text("__doc.text")).alias("__s"))
     gone = None
     while True:
         open_rows = stored(open_rows, "open")
@@ -322,4 +324,4 @@ def deduplicated(docs: DataFrame, budget: int = 3, words: int = 5, similarity: f
         gone = out if gone is None else gone.unionByName(out)
         open_rows = beside.filter("NOT __alike").drop("__alike")
     kept = rows if gone is None else rows.join(gone, "__row", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select("__doc.*")
