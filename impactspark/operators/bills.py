@@ -72,8 +72,11 @@ def process_bills(
     overrides: DataFrame | None = None,
     threshold: float = fixed.REVIEW_THRESHOLD,
     mode: str = "compat",
+    sample_chars: int = fixed.SAMPLE_CHARS,
 ) -> DataFrame:
     """Full parameter record per bill. An empty text gives an empty record.
+    Parameters are read from the whole text; `bill_text_sample` shows its first
+    `sample_chars` characters.
 
     Overrides apply to bills whose own confidence is below the threshold.
     """
@@ -84,7 +87,7 @@ def process_bills(
         {
             "affected_types": F.when(known, F.col("affected_types")),
             "confidence_score": F.when(known, F.col("confidence_score")),
-            "bill_text_sample": F.substring("text", 1, fixed.SAMPLE_CHARS),
+            "bill_text_sample": F.substring("text", 1, sample_chars),
             "extraction_method": F.when(known, "rule_based"),
         }
     ).drop("text")

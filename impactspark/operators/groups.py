@@ -61,10 +61,10 @@ def group_stats(
 def group_means(
     df: DataFrame, by: Sequence[str], spec: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
-    """Mean and count of the first ten numeric columns, or the given spec."""
+    """Mean and count of every numeric column, or the given spec."""
     if spec is None:
         numbers = [c for c in numeric_columns(df) if c not in by]
-        spec = {c: ("mean", "count") for c in numbers[:10]}
+        spec = {c: ("mean", "count") for c in numbers}
     return group_stats(df, by, spec)
 
 
@@ -88,12 +88,10 @@ def lod(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFra
     """Group totals attached to every row.
 
     A window over the group would bring a whole group into one task; totals
-    are aggregated first and joined back, broadcast when their number has been
-    checked, otherwise by a join whose hot keys Spark may split.
+    are aggregated first and joined back. Adaptive execution knows their size:
+    few are broadcast, otherwise the join's hot keys may be split.
     """
     totals = df.groupBy(*by).agg(*[e.alias(a) for a, e in aggs.items()])
-    if few_groups(df, by):
-        totals = F.broadcast(totals)
     return df.join(totals, list(by), "left")
 
 

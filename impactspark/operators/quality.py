@@ -41,28 +41,21 @@ def missing_profile(df: DataFrame) -> DataFrame:
     return rows_per_column(df, rows)
 
 
-def most_missing(df: DataFrame, k: int = 20) -> DataFrame:
-    """The columns with gaps, worst first."""
-    return (
-        missing_profile(df)
-        .filter("missing_count > 0")
-        .orderBy(F.desc("missing_count"), "column")
-        .limit(k)
-    )
+def most_missing(df: DataFrame, k: int | None = None) -> DataFrame:
+    """The columns with gaps, worst first; the first `k` if given."""
+    worst = missing_profile(df).filter("missing_count > 0").orderBy(F.desc("missing_count"), "column")
+    return worst if k is None else worst.limit(k)
 
 
 def empty_columns(df: DataFrame) -> DataFrame:
     return missing_profile(df).filter("non_missing_count = 0").select("column")
 
 
-def sparse_numeric(df: DataFrame, k: int = 10) -> DataFrame:
-    """Numeric columns more than half missing, worst first."""
-    return (
-        missing_profile(df.select(*numeric_columns(df)))
-        .filter("missing_count > non_missing_count")
-        .orderBy(F.desc("missing_count"), "column")
-        .limit(k)
-    )
+def sparse_numeric(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Numeric columns more than half missing, worst first; the first `k` if given."""
+    sparse = missing_profile(df.select(*numeric_columns(df))).filter("missing_count > non_missing_count")
+    worst = sparse.orderBy(F.desc("missing_count"), "column")
+    return worst if k is None else worst.limit(k)
 
 
 def outliers(df: DataFrame, method: str = "iqr") -> DataFrame:

@@ -63,15 +63,48 @@ def predict_impact(
     return scenario_impact(master, known, predict, states)
 
 
+POLICY_KEY = ["policy_id", *impact.fixed.POLICY_NUMBERS, "affected_types"]
+
+
+def with_policy_id(params: DataFrame) -> DataFrame:
+    """Name each bill's policy by its content: the four numbers and the types in
+    order. Bills that ask for the same thing share a policy."""
+    types = F.array_sort(F.array_distinct("affected_types"))
+    params = params.withColumn("affected_types", types)
+    content = F.to_json(F.struct(*impact.fixed.POLICY_NUMBERS, "affected_types"), {"ignoreNullFields": "false"})
+    return params.withColumn("policy_id", F.sha2(content, 256))
+
+
+def distinct_policies(params: DataFrame) -> DataFrame:
+    """One row per policy of bills that name somebody."""
+    return params.filter(F.col("affected_types").isNotNull()).select(*POLICY_KEY).dropDuplicates(["policy_id"])
+
+
+def summarize_bills(
+    bills: DataFrame,
+    master: DataFrame,
+    predict: Predictor = rule_predictor,
+    states: Sequence[str] | None = None,
+) -> DataFrame:
+    """One summary per bill, computed once per distinct policy.
+
+    A corpus holds few policies however many bills it has: institutions meet
+    policies, not bills, and the summaries are joined back to the bills.
+    """
+    params = cut_lineage(with_policy_id(process_bills(bills)).select("bill_id", *POLICY_KEY))
+    pairs = scenario_impact(master, distinct_policies(params), predict, states)
+    summary = impact.plain_sentence(impact.impact_summary(pairs, ["policy_id"]))
+    return params.select("bill_id", "policy_id").join(summary, "policy_id")
+
+
 def analyze_scenario(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Statistics, correlations, distributions and group means of a scenario."""
     columns = list(columns or numeric_columns(df))
-    shown = columns[:5]
     out = {
         "statistics": stats.describe(df, columns),
         "correlations": stats.correlation_matrix(df, columns),
-        "histograms": stats.histogram(df, shown),
-        "boxplots": stats.boxplot_stats(df, shown),
+        "histograms": stats.histogram(df, columns),
+        "boxplots": stats.boxplot_stats(df, columns),
     }
     for key in ("state", "institution_type"):
         if key in df.columns:
@@ -132,7 +165,7 @@ def run_scenario(
             reports = analyze_scenario(rows, measures) | custom_metrics(rows)
             done |= write_reports(reports, f"{out}/analysis/{scenario}")
     except Exception as e:
-        sinks.record_run(spark, out, scenario, scenario, "error", str(e)[:2000])
+        sinks.record_run(spark, out, scenario, scenario, "error", str(e))
         raise
     sinks.record_run(spark, out, scenario, scenario, "success")
     return done

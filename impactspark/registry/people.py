@@ -351,7 +351,9 @@ def summary_sql(source: str, by: str = "") -> str:
       count(*) FILTER (pct_minority > 50) AS minority_serving_institutions_affected,
       count(*) FILTER (pct_low_income > 50) AS low_income_serving_institutions_affected,
       count(*) FILTER (equity_risk_class = 'Low') AS low_class,
-      count(*) FILTER (equity_risk_class = 'Medium') AS medium_class FROM ({source}) {group})"""
+      count(*) FILTER (equity_risk_class = 'Medium') AS medium_class,
+      array_to_string((list(institution_id ORDER BY tuition_change_dollars DESC, institution_id, name)
+        FILTER (tuition_change_dollars IS NOT NULL))[1:10], ',') AS top_ids FROM ({source}) {group})"""
 
 
 SUMMARY_DOUBLES = (
@@ -361,11 +363,12 @@ SUMMARY_DOUBLES = (
 
 
 def flat_summary(df):
-    """The class counts as columns, and the list of the most affected left out."""
+    """The class counts and the ids of the most affected as columns."""
     counts = {
         f"{c.lower()}_class": F.coalesce(F.col("equity_risk_breakdown")[c], F.lit(0).cast("long"))
         for c in ("Low", "Medium")
     }
+    counts["top_ids"] = F.array_join(F.transform("top_most_affected", lambda x: x["institution_id"].cast("string")), ",")
     return df.withColumns(counts).drop("equity_risk_breakdown", "top_most_affected")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from impactspark import fixed
 from impactspark.functions import text as tx
 from impactspark.operators import bills, impact
-from impactspark.plans.scenario import predict_impact
-from impactspark.registry.base import SCENARIOS, outcome_sql, query
+from impactspark.plans.scenario import summarize_bills
+from impactspark.registry.base import INSTITUTIONS, SCENARIOS, outcome_sql, query
 from impactspark.registry.people import SUMMARY_DOUBLES, flat_summary, summary_sql
 from impactspark.sources import tables
 from impactspark.sources.folders import fresh_dir
@@ -84,6 +84,11 @@ def _joined_types(df):
     return df.withColumn("affected_types", F.array_join("affected_types", ","))
 
 
+def _once(bills, found, name):
+    """A column that a later filter does not evaluate a second time."""
+    return bills.select("bill_id", F.inline(F.array(F.struct(found.alias(name)))))
+
+
 @query("bill_clean", CLEAN)
 def bill_clean(spark, folder):
     return bills.clean_bills(tables.bills(spark, folder))
@@ -96,7 +101,7 @@ def bill_clean(spark, folder):
     ("amount_sum", "first_amount"),
 )
 def bill_money(spark, folder):
-    found = tables.bills(spark, folder).select("bill_id", tx.money_amounts(F.col("text")).alias("a"))
+    found = _once(tables.bills(spark, folder), tx.money_amounts(F.col("text")), "a")
     return found.filter(F.size("a") > 0).select(
         "bill_id",
         F.size("a").cast("long").alias("amount_count"),
@@ -112,7 +117,7 @@ def bill_money(spark, folder):
     ("percent_sum",),
 )
 def bill_percent(spark, folder):
-    found = tables.bills(spark, folder).select("bill_id", tx.percentages(F.col("text")).alias("p"))
+    found = _once(tables.bills(spark, folder), tx.percentages(F.col("text")), "p")
     return found.filter(F.size("p") > 0).select(
         "bill_id",
         F.size("p").cast("long").alias("percent_count"),
@@ -161,7 +166,7 @@ def bill_overrides(spark, folder):
     return _joined_types(bills.process_bills(tables.bills(spark, folder), outside)).drop("bill_text_sample")
 
 
-# suppliers as a second, smaller set of institutions
+# suppliers as a second set of institutions, with types of their own
 SUPPLIERS = """SELECT s_suppkey AS institution_id, s_name AS name, n_name AS state,
   CASE s_suppkey % 4 WHEN 0 THEN 'Public Four-Year' WHEN 1 THEN 'Community College'
     WHEN 2 THEN 'Private For-Profit' ELSE 'Public Two-Year' END AS institution_type,
@@ -193,9 +198,9 @@ _LABELS = " ".join(
     f"WHEN '{kind}' THEN {list(labels)!r}" for kind, labels in fixed.TYPE_EXPANSION.items()
 )
 BILL_IMPACT = outcome_sql(
-    f"""SELECT s.*, p.bill_id, coalesce(p.funding_change_pct, 0) AS funding_change_pct,
+    f"""SELECT s.* EXCLUDE (min_wage), p.bill_id, coalesce(p.funding_change_pct, 0) AS funding_change_pct,
       coalesce(p.min_wage_change, 0) AS min_wage_change, coalesce(p.childcare_subsidy, 0) AS childcare_subsidy,
-      coalesce(p.tuition_cap_pct, 0) AS tuition_cap_pct FROM ({SUPPLIERS}) s JOIN (SELECT *,
+      coalesce(p.tuition_cap_pct, 0) AS tuition_cap_pct FROM ({INSTITUTIONS}) s JOIN (SELECT *,
         flatten(list_transform(affected_types, lambda t: CASE t {_LABELS} END)) AS labels FROM ({PARAMS})) p
       ON list_contains(p.labels, s.institution_type)"""
 )
@@ -203,29 +208,50 @@ BILL_IMPACT = outcome_sql(
 
 @query("bill_impact", summary_sql(BILL_IMPACT, "bill_id"), SUMMARY_DOUBLES)
 def bill_impact(spark, folder):
-    """Every bill of the corpus against every institution it names."""
-    rows = predict_impact(tables.bills(spark, folder), suppliers(spark, folder))
-    return flat_summary(impact.plain_sentence(impact.impact_summary(rows, ["bill_id"])))
+    """Every bill of the corpus against every institution it names, by policies."""
+    found = summarize_bills(tables.bills(spark, folder), tables.institutions(spark, folder).drop("min_wage"))
+    return flat_summary(found).drop("policy_id")
 
 
 @query(
     "stream_publish",
-    f"""SELECT CAST(bill_id AS VARCHAR) || '_0' AS scenario, equity_risk_class, count(institution_id) AS college_count,
+    f"""SELECT CAST(bill_id AS VARCHAR) AS bill_id, equity_risk_class, count(institution_id) AS college_count,
       avg(tuition_change_dollars) AS avg_tuition_change FROM ({BILL_IMPACT}) GROUP BY ALL""",
     ("avg_tuition_change",),
 )
 def stream_publish(spark, folder):
-    """The document file arrives in a watched folder; its bills are published
-    and the current equity table is read back."""
-    base = fresh_dir(spark, "stream")
-    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    arriving = watch.table_bills(
-        spark, folder, schema, "doc_id", tables.bill_text(), "documents.parquet"
+    """The documents arrive as several files in a watched folder, one batch
+    each; their bills are published and all batches are read back."""
+    out = stream_documents(spark, folder)
+    equity = watch.published(spark, out, "equity")
+    return equity.select(
+        F.regexp_replace("scenario", "_[0-9]+$", "").alias("bill_id"), "equity_risk_class", "college_count", "avg_tuition_change"
     )
-    run = watch.watch(arriving, suppliers(spark, folder), f"{base}/out", f"{base}/checkpoint", keep_going=False)
-    run.awaitTermination()
-    equity = spark.read.parquet(f"{base}/out/current/equity")
-    return equity.select("scenario", "equity_risk_class", "college_count", "avg_tuition_change")
+
+
+def stream_documents(spark, folder):
+    """Publish the documents from three files."""
+    base = fresh_dir(spark, "stream")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", tables.bill_text().alias("text"))
+    docs.repartition(3, "doc_id").write.parquet(f"{base}/inbox")
+    arriving = watch.table_bills(spark, f"{base}/inbox", docs.schema, "doc_id", "text", "*.parquet", files_per_batch=1)
+    people = tables.institutions(spark, folder).drop("min_wage")
+    watch.watch(arriving, people, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out"
+
+
+@query(
+    "stream_runs",
+    """SELECT CAST(doc_id AS VARCHAR) AS bill_id, 'success' AS status, 0 AS has_error,
+      (SELECT count(*) FROM documents) AS bills FROM documents""",
+)
+def stream_runs(spark, folder):
+    """The table of runs after several batches: one row per bill, none lost."""
+    runs = watch.published(spark, stream_documents(spark, folder), "runs")
+    return runs.select(
+        F.regexp_replace("scenario", "_[0-9]+$", "").alias("bill_id"), "status",
+        F.col("error").isNotNull().cast("int").alias("has_error"), F.lit(runs.count()).alias("bills"),
+    )
 
 
 @query(

@@ -43,6 +43,26 @@ def csv_scan(spark, folder):
     return found["customers"]
 
 
+NAMES = """CASE doc_id % 5 WHEN 0 THEN ' lead, ' || text || ' ' WHEN 1 THEN 'say "hi", ok' || chr(13) || chr(10) || text
+  WHEN 2 THEN '' WHEN 3 THEN NULL ELSE text || chr(10) || '"' END"""
+
+
+@query("csv_quotes", f"SELECT doc_id AS institution_id, {NAMES} AS name, n_chars AS enrollment FROM documents")
+def csv_quotes(spark, folder):
+    """Names with quotes, commas, line breaks, outer spaces, empty and NULL."""
+    text, kind = F.col("text"), F.col("doc_id") % 5
+    name = (
+        F.when(kind == 0, F.concat(F.lit(" lead, "), text, F.lit(" ")))
+        .when(kind == 1, F.concat(F.lit('say "hi", ok\r\n'), text))
+        .when(kind == 2, "")
+        .when(kind == 4, F.concat(text, F.lit('\n"')))
+    )
+    rows = _table(spark, folder, "documents").select(F.col("doc_id").alias("unitid"), name.alias("name"), F.col("n_chars").alias("enrollment"))
+    base = fresh_dir(spark, "quotes")
+    sinks.write_csv(rows.repartition(7), f"{base}/names.csv")
+    return scan.read_sources(spark, {"names": "names.csv"}, schemas={"names": rows.schema}, folder=base)["names"]
+
+
 @query(
     "scenario_files",
     " UNION ALL ".join(
@@ -71,11 +91,51 @@ def scenario_files(spark, folder):
 )
 def published_equity(spark, folder):
     """A full scenario run, read back from the current snapshot."""
+    schema = "equity_risk_class string, college_count bigint, " + ", ".join(f"{c} double" for c in EQUITY_DOUBLES)
+    return scan.csv_reader(spark, schema).csv(f"{_snapshot(spark, folder)}/current_equity_analysis.csv")
+
+
+def _snapshot(spark, folder):
+    """The current folder after a run whose export has many part files."""
     base = fresh_dir(spark, "run")
     policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario", "description")
-    done = run_scenario(spark, "performance", policies, tables.institutions(spark, folder), base)
-    schema = "equity_risk_class string, college_count bigint, " + ", ".join(f"{c} double" for c in EQUITY_DOUBLES)
-    return spark.read.schema(schema).option("header", True).csv(done["current_equity_analysis"])
+    people = tables.institutions(spark, folder).repartition(16, "institution_id")
+    run_scenario(spark, "performance", policies, people, base)
+    return sinks.current_folder(spark, base)
+
+
+PUBLISHED = f"SELECT * FROM ({grid_sql()}) WHERE scenario = 'performance_based_funding'"
+
+
+@query(
+    "published_predictions",
+    f"""SELECT institution_id, name, state, coalesce(enrollment, 0) AS enrollment, coalesce(tuition_change_dollars, 0) AS tuition_change_dollars,
+      coalesce(students_affected, 0) AS students_affected, coalesce(equity_risk_class, 'Unknown') AS equity_risk_class FROM ({PUBLISHED})""",
+    ("tuition_change_dollars", "students_affected"),
+)
+def published_predictions(spark, folder):
+    """Every exported row, read back from the current snapshot."""
+    rows = scan.csv_reader(spark).csv(f"{_snapshot(spark, folder)}/current_predictions.csv")
+    return rows.select(
+        F.col("institution_id").cast("long"), "name", "state", F.col("enrollment").cast("double"),
+        F.col("tuition_change_dollars").cast("double"), F.col("students_affected").cast("double"), "equity_risk_class",
+    )
+
+
+@query(
+    "published_summary",
+    f"""SELECT 'performance' AS scenario_name, count(*) AS total_colleges_affected,
+      CAST(trunc(coalesce(sum(students_affected), 0)) AS BIGINT) AS total_students_impacted,
+      avg(tuition_change_dollars) AS average_tuition_change_dollars,
+      count(*) FILTER (equity_risk_class = 'High') AS high_risk_colleges FROM ({PUBLISHED})""",
+    ("average_tuition_change_dollars",),
+)
+def published_summary(spark, folder):
+    """The summary of the current snapshot, with its scenario stamped on."""
+    rows = spark.read.json(f"{_snapshot(spark, folder)}/current_summary.json")
+    return rows.select(
+        "scenario_name", "total_colleges_affected", "total_students_impacted", "average_tuition_change_dollars", "high_risk_colleges"
+    )
 
 
 MERGE_SQL = """

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +46,25 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+#: the customary dialect: quotes are doubled, line breaks may stand inside quotes, spaces count;
+#: a NULL is an empty field, an empty text a quoted one
+DIALECT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def csv_reader(spark: SparkSession, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrameReader:
+    """A reader of the dialect. A file with line breaks inside quotes is read by
+    one task; `multi_line=False` lets Spark split files known to have none."""
+    # an unquoted empty field reads as NULL; the mark for NULL is one no file holds,
+    # since a quoted empty field would be taken for it
+    reader = spark.read.options(**DIALECT, nullValue="\0", emptyValue="", multiLine=multi_line)
+    return reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """Scan a CSV with header. Give the schema to avoid a pass for inference."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return nan_to_null(reader.csv(path))
+    return nan_to_null(csv_reader(spark, schema, multi_line).csv(path))
 
 
 def read_sources(
@@ -84,8 +98,7 @@ def read_scenarios(
 
     The scenario is the file (or output folder) name without prefix and suffix.
     """
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    reader = csv_reader(spark, schema)
     pattern = r"([^/]+?)(?:\.csv)?(?:/part-[^/]*)?$"
     stem = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     df = reader.csv(list(paths))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from impactspark import fixed
 from impactspark.functions.columns import first_present, numeric_columns, string_columns
+from impactspark.sources.folders import cut_lineage
+from impactspark.sources.scan import DIALECT
 
 RUN_SCHEMA = T.StructType(
     [
@@ -27,7 +30,7 @@ def now_iso() -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**DIALECT, nullValue="", emptyValue='""').csv(path)
     return path
 
 
@@ -69,35 +72,46 @@ def missing_output_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, present boolean")
 
 
+POINTER_SCHEMA = "scenario string, folder string, timestamp string"
+
+
 def publish(
     predictions: DataFrame, equity: DataFrame, summary: DataFrame, scenario: str, base: str
 ) -> dict[str, str]:
-    """Write the three outputs under the scenario's name, then as `current`.
+    """Write the three outputs under the scenario's name and once more as
+    `current`, from the same stored rows.
 
-    The current copies are re-read from what was just written, so the impact
-    plan runs once.
+    A current copy lies in a folder of its own and is named by one row appended
+    to the pointer table when all of it is there, so a reader never meets half
+    of it. `predictions` should be a stored table; the small tables are cut.
     """
     spark = predictions.sparkSession
+    export = impact_export(predictions)
+    equity, summary = cut_lineage(equity), cut_lineage(stamp_summary(summary, scenario))
+    folder = f"{base}/current/{uuid.uuid4().hex}"
     done = {
-        "predicted_impact": write_csv(
-            impact_export(predictions), f"{base}/predictions/{fixed.EXPORT_PREFIX}{scenario}.csv"
-        ),
+        "predicted_impact": write_csv(export, f"{base}/predictions/{fixed.EXPORT_PREFIX}{scenario}.csv"),
         "equity_analysis": write_csv(equity, f"{base}/equity_analysis/equity_analysis_{scenario}.csv"),
-        "summary": write_json(
-            stamp_summary(summary, scenario), f"{base}/summaries/summary_{scenario}.json"
-        ),
+        "summary": write_json(summary, f"{base}/summaries/summary_{scenario}.json"),
+        "current_predicted_impact": write_csv(export, f"{folder}/current_predictions.csv"),
+        "current_equity_analysis": write_csv(equity, f"{folder}/current_equity_analysis.csv"),
+        "current_summary": write_json(summary, f"{folder}/current_summary.json"),
     }
-    text = spark.read.text
-    for kind, target in (
-        ("predicted_impact", "current_predictions.csv"),
-        ("equity_analysis", "current_equity_analysis.csv"),
-        ("summary", "current_summary.json"),
-    ):
-        text(done[kind]).write.mode("overwrite").text(f"{base}/current/{target}")
-        done[f"current_{kind}"] = f"{base}/current/{target}"
+    point_to(spark, base, scenario, folder)
     return done
 
 
+def point_to(spark: SparkSession, base: str, scenario: str, folder: str) -> None:
+    row = spark.createDataFrame([(scenario, folder)], "scenario string, folder string")
+    row.withColumn("timestamp", now_iso()).coalesce(1).write.mode("append").json(f"{base}/pointer")
+
+
+def current_folder(spark: SparkSession, base: str) -> str:
+    """The folder of the newest complete publication."""
+    pointers = spark.read.schema(POINTER_SCHEMA).json(f"{base}/pointer")
+    return pointers.agg(F.max_by("folder", "timestamp")).first()[0]
+
+
 def record_run(
     spark: SparkSession, base: str, scenario: str, source_name: str, status: str, error: str | None = None
 ) -> None:

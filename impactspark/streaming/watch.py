@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from impactspark.operators import impact
 from impactspark.operators.bills import process_bills
-from impactspark.plans.scenario import Predictor, rule_predictor, scenario_impact
+from impactspark.plans.scenario import Predictor, distinct_policies, rule_predictor, scenario_impact, with_policy_id
 from impactspark.sources.sinks import impact_export, now_iso
 
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
@@ -30,10 +30,19 @@ def file_bills(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFra
 
 
 def table_bills(
-    spark: SparkSession, folder: str, schema: T.StructType, key: str, text: Column | str, glob: str
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    key: str,
+    text: Column | str,
+    glob: str,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """A stream of the rows of arriving parquet files, one bill per row."""
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.parquet(folder)
     body = F.col(text) if isinstance(text, str) else text
     return rows.select(
         F.col(key).cast("string").alias("bill_id"),
@@ -48,51 +57,67 @@ def publish_batch(
     master: DataFrame,
     out: str,
     predict: Predictor = rule_predictor,
-    keep_going: bool = True,
 ) -> None:
-    """Parameters, predictions, equity and summary of one batch of bills.
-
-    Every output lies under its batch number and is overwritten whole, so a
-    batch that is repeated after a failure leaves the same files. The
-    scenario is the bill with the batch number.
+    """Parameters, impact, equity and summary of one batch of bills.
+
+    Institutions meet the distinct policies of the batch: `impact` has one row
+    per policy and institution, `params` leads from a bill to its policy, and
+    `equity` and `summary` are per bill. Every output lies under its batch
+    number and is overwritten whole, so a batch that is repeated leaves the
+    same files; the batch becomes the current one by a single row appended at
+    the end. The scenario is the bill with the batch number.
+
+    A bill without text is recorded as an error and the others are published.
+    Any other failure is recorded and raised: the batch is not committed and
+    comes again.
     """
     spark = batch.sparkSession
 
-    def table(kind: str) -> str:
-        return f"{out}/{kind}/batch_id={batch_id}"
-
     def store(df: DataFrame, kind: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(table(kind))
-        return spark.read.parquet(table(kind))
+        path = f"{out}/{kind}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    def record(status: Column, error: Column) -> None:
+        runs = named.select("scenario", "source_name", status.alias("status"), now_iso().alias("timestamp"), error.alias("error"))
+        store(runs, "runs")
 
-    status, error = "success", None
+    named = batch.withColumn("scenario", F.concat(F.col("bill_id"), F.lit(f"_{batch_id}")))
     try:
-        name = F.concat(F.col("bill_id"), F.lit(f"_{batch_id}"))
-        params = store(process_bills(batch).withColumn("scenario", name), "params")
-        keep = ["scenario", *impact.fixed.POLICY_NUMBERS, "affected_types"]
-        policies = params.filter(F.col("affected_types").isNotNull()).select(*keep)
-        rows = store(scenario_impact(master, policies, predict), "impact")
-        equity = impact.equity_table(rows, ["scenario"])
-        summary = impact.plain_sentence(impact.impact_summary(rows, ["scenario"]))
-        for df, kind in (
-            (impact_export(rows, ["scenario"]), "predictions"),
-            (equity, "equity"),
-            (summary, "summary"),
-        ):
-            store(df, kind).write.mode("overwrite").parquet(f"{out}/current/{kind}")
-    except Exception as e:
-        status, error = "error", str(e)[:2000]
-        if not keep_going:
-            raise
-    finally:
-        runs = batch.select(
-            F.concat(F.col("bill_id"), F.lit(f"_{batch_id}")).alias("scenario"),
-            "source_name",
-            F.lit(status).alias("status"),
-            now_iso().alias("timestamp"),
-            F.lit(error).cast("string").alias("error"),
+        params = store(with_policy_id(process_bills(named)), "params")
+        rows = store(scenario_impact(master, distinct_policies(params), predict), "impact")
+        bills = params.select("scenario", "policy_id")
+        equity = impact.equity_table(rows, ["policy_id"])
+        summary = impact.plain_sentence(impact.impact_summary(rows, ["policy_id"]))
+        for df, kind in ((equity, "equity"), (summary, "summary")):
+            store(bills.join(df, "policy_id"), kind)
+        blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+        record(
+            F.when(blank, "error").otherwise("success"),
+            F.when(blank, "the bill has no text"),
         )
-        runs.write.mode("overwrite").parquet(table("runs"))
+    except Exception as e:
+        record(F.lit("error"), F.lit(str(e)))
+        raise
+    pointer = spark.createDataFrame([(batch_id,)], "batch_id long").withColumn("timestamp", now_iso())
+    pointer.coalesce(1).write.mode("append").json(f"{out}/pointer")
+
+
+def current(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    """A table of the newest batch that was published in whole."""
+    pointers = spark.read.schema("batch_id long, timestamp string").json(f"{out}/pointer")
+    newest = pointers.agg(F.max("batch_id")).first()[0]
+    return spark.read.parquet(f"{out}/{kind}/batch_id={newest}")
+
+
+def published(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    """A table over all batches."""
+    return spark.read.parquet(f"{out}/{kind}")
+
+
+def predictions(spark: SparkSession, out: str) -> DataFrame:
+    """The dashboard projection per policy, from the stored impact rows."""
+    return impact_export(published(spark, out, "impact"), ["policy_id"])
 
 
 def watch(
@@ -102,10 +127,9 @@ def watch(
     checkpoint: str,
     predict: Predictor = rule_predictor,
     once: bool = True,
-    keep_going: bool = True,
 ) -> StreamingQuery:
     """Start publishing a stream of bills; the checkpoint remembers which
     files are done. With `once`, stop after everything present is processed."""
-    each = partial(publish_batch, master=master, out=out, predict=predict, keep_going=keep_going)
+    each = partial(publish_batch, master=master, out=out, predict=predict)
     writer = bills.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

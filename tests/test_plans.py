@@ -1,7 +1,9 @@
 import pytest
 
+from impactspark.operators import impact
 from impactspark.plans import master, scenario
 from impactspark.sources import sinks, tables
+from impactspark.sources.scan import csv_reader
 from impactspark.streaming import watch
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,7 +18,8 @@ def test_run_publishes_and_records(spark, people, tmp_path):
     out = str(tmp_path)
     policies = tables.catalogue(spark).filter("scenario = 'min_wage_15'").drop("scenario", "description")
     done = scenario.run_scenario(spark, "wage", policies, people, out, analysis=True)
-    current = spark.read.option("header", True).csv(done["current_predicted_impact"])
+    assert done["current_summary"].startswith(sinks.current_folder(spark, out))
+    current = csv_reader(spark).csv(done["current_predicted_impact"])
     assert current.count() == people.count()
     assert "students_affected" in current.columns
     summary = spark.read.json(done["current_summary"]).first()
@@ -75,10 +78,12 @@ def test_each_file_is_published_once(spark, people, tmp_path):
     assert params["second_1"].affected_types == ["private"]
     summary = {r.scenario: r for r in spark.read.parquet(f"{tmp_path}/out/summary").collect()}
     assert set(summary) == {"first_0", "second_1"}
-    current = spark.read.parquet(f"{tmp_path}/out/current/predictions")
-    assert {r.scenario for r in current.select("scenario").distinct().collect()} == {"second_1"}
+    current = watch.current(spark, f"{tmp_path}/out", "summary")
+    assert {r.scenario for r in current.collect()} == {"second_1"}
+    pairs = watch.predictions(spark, f"{tmp_path}/out")
+    assert pairs.select("policy_id").distinct().count() == 2
     runs = [(r.scenario, r.status) for r in spark.read.parquet(f"{tmp_path}/out/runs").collect()]
-    assert sorted(runs) == [("empty_1", "success"), ("first_0", "success"), ("second_1", "success")]
+    assert sorted(runs) == [("empty_1", "error"), ("first_0", "success"), ("second_1", "success")]
 
 
 def test_a_failing_batch_is_recorded(spark, people, tmp_path):
@@ -87,8 +92,23 @@ def test_a_failing_batch_is_recorded(spark, people, tmp_path):
     def broken(df):
         raise ValueError("model is gone")
 
-    watch.publish_batch(batch, 3, people, str(tmp_path), broken)
+    with pytest.raises(ValueError):
+        watch.publish_batch(batch, 3, people, str(tmp_path), broken)
     row = spark.read.parquet(f"{tmp_path}/runs").first()
     assert (row.scenario, row.status, row.error) == ("b_3", "error", "model is gone")
-    with pytest.raises(ValueError):
-        watch.publish_batch(batch, 4, people, str(tmp_path), broken, keep_going=False)
+    # repeated after the repair, the same batch replaces what the failure left
+    watch.publish_batch(batch, 3, people, str(tmp_path))
+    assert [r.status for r in spark.read.parquet(f"{tmp_path}/runs").collect()] == ["success"]
+
+
+def test_bills_share_their_policies(spark, people):
+    texts = ["The funding falls 10 percent, a cut for each community college.", "Funding is cut by 10 percent at a community college.", None, "Nothing."]
+    bills = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "bill_id long, text string")
+    params = scenario.with_policy_id(scenario.process_bills(bills))
+    assert scenario.distinct_policies(params).count() < 4
+    pairs = scenario.scenario_impact(people, scenario.distinct_policies(params))
+    one_by_one = scenario.predict_impact(bills, people)
+    assert pairs.count() * 5 <= one_by_one.count()
+    by_policy = {r.bill_id: r.total_students_impacted for r in scenario.summarize_bills(bills, people).collect()}
+    by_bill = {r.bill_id: r.total_students_impacted for r in impact.impact_summary(one_by_one, ["bill_id"]).collect()}
+    assert by_policy == by_bill and len(by_bill) >= 20
