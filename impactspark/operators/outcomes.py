@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,14 +107,15 @@ def outcomes(
     )
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Rows with a gap-free index `_row`, without a global sort.
+def numbered(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with a gap-free index `_row`, in the order of `by` if given.
 
-    The rows are checkpointed first, so that the generated ids stay the same
-    however often a task is repeated. Partition sizes are one small row per
-    partition.
+    A range partitioning orders the rows without a single task that holds all.
+    The rows are checkpointed, so that the generated ids stay the same however
+    often a task is repeated. Partition sizes are one small row per partition.
     """
-    stable = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+    stable = cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = stable.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,25 +128,32 @@ def numbered(df: DataFrame) -> DataFrame:
     )
 
 
+def drawn(seed: int, name: str, key: str = "draw_id") -> Column:
+    """A number in [0, 1) fixed by seed, name and draw alone: 52 bits of a digest."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def drawn_normal(seed: int, name: str, key: str = "draw_id") -> Column:
+    """A standard normal number from two such uniforms."""
+    radius = F.sqrt(-2 * F.log(1 - drawn(seed, f"{name}_radius", key)))
+    return radius * F.cos(2 * math.pi * drawn(seed, f"{name}_angle", key))
+
+
 def sample_scenarios(df: DataFrame, n: int, seed: int = fixed.SEED) -> DataFrame:
     """`n` draws of (institution with replacement, random policy), with noisy
-    outcomes. Each draw looks its institution up by index; the indexes are
-    uniform, so the join has no hot key."""
+    outcomes. Every number is a digest of seed, quantity and draw, and an
+    institution's index its place by id, so a draw does not depend on how the
+    rows are dealt out. The indexes are uniform, so the join has no hot key."""
     spark = df.sparkSession
-    rows = numbered(df)
+    rows = numbered(df, ["institution_id"])
     total = rows.agg(F.count(F.lit(1))).scalar()
-    # evenly spread streams: one seed per drawn quantity
-    draws = spark.range(n).select(
-        F.col("id").alias("draw_id"),
-        F.floor(F.rand(seed) * total).cast("long").alias("_row"),
-        *[
-            (F.rand(seed + i) * (high - low) + low).alias(name)
-            for i, (name, (low, high)) in enumerate(fixed.DRAW_RANGES.items(), start=1)
-        ],
-        *[
-            (F.randn(seed + 100 + i) * sigma).alias(f"_noise_{name}")
-            for i, (name, sigma) in enumerate(fixed.NOISE_SIGMA.items())
-        ],
+    draws = spark.range(n).withColumnRenamed("id", "draw_id")
+    draws = draws.select(
+        "draw_id",
+        F.floor(drawn(seed, "institution") * total).cast("long").alias("_row"),
+        *[(drawn(seed, name) * (high - low) + low).alias(name) for name, (low, high) in fixed.DRAW_RANGES.items()],
+        *[(drawn_normal(seed, name) * sigma).alias(f"_noise_{name}") for name, sigma in fixed.NOISE_SIGMA.items()],
     )
     joined = draws.join(rows, "_row")
     noise = {name: F.col(f"_noise_{name}") for name in fixed.NOISE_SIGMA}

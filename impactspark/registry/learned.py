@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from impactspark import fixed
 from impactspark.operators import features, impact, learning, metrics, outcomes
 from impactspark.plans.scenario import model_predictor
-from impactspark.registry.base import MIXED, impact_sql, impact_view, query
+from impactspark.registry.base import INSTITUTIONS, MIXED, impact_sql, impact_view, query
 from impactspark.sources import tables
 
 IMPACT = impact_sql(MIXED)
@@ -149,21 +149,78 @@ def training_rows(spark, folder):
     return outcomes.sample_scenarios(rows, spark.read.parquet(f"{folder}/customer.parquet").count())
 
 
-@query("sample_scenarios")
+def _drawn(name: str, key: str = "draw_id") -> str:
+    return f"(('0x' || substr(md5('{fixed.SEED}|{name}|' || {key}), 1, 13))::BIGINT / {float(1 << 52)!r}e0)"
+
+
+def _normal(name: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_drawn(name + '_radius')})) * cos(2 * pi() * {_drawn(name + '_angle')}))"
+
+
+_DRAWS = ", ".join(
+    [f"{_drawn(c)} * {high - low!r}e0 + {low!r}e0 AS {c}" for c, (low, high) in fixed.DRAW_RANGES.items()]
+    + [f"{_normal(c)} * {sigma!r}e0 AS noise_{c}" for c, sigma in fixed.NOISE_SIGMA.items()]
+)
+SAMPLE = f"""SELECT draw_id, funding_change_pct, min_wage_change, childcare_subsidy, tuition_cap_pct, state, institution_type,
+  CASE WHEN enrollment > 0 THEN enrollment ELSE {fixed.FEATURE_DEFAULTS["enrollment"]!r}e0 END AS enrollment,
+  li AS pct_low_income, mi AS pct_minority, baseline_tuition, baseline_grad_rate, tuition_change_pct,
+  -(dollars / 1000) * elasticity * 100 + greatest(min_wage_change, 0) * {fixed.WAGE_ENROLLMENT!r}e0
+    + greatest(childcare_subsidy / 1000, 0) * {fixed.CHILDCARE_ENROLLMENT!r}e0 + noise_enrollment AS enrollment_change_pct,
+  -(abs(dollars) / baseline_tuition) * stress_slope + greatest(min_wage_change, 0) * {fixed.WAGE_GRADUATION!r}e0
+    + greatest(childcare_subsidy / 1000, 0) * {fixed.CHILDCARE_GRADUATION!r}e0 + noise_graduation AS grad_rate_change,
+  score AS equity_risk_score, CASE WHEN round(score, 6) <= 33 THEN 'Low' WHEN round(score, 6) <= 66 THEN 'Medium' ELSE 'High' END AS equity_risk_class
+FROM (SELECT *, least(greatest(li / 100 * 40 + mi / 100 * 30 + least(abs(dollars) / 2000, 1e0) * 30, 0e0), 100e0) AS score
+  FROM (SELECT *, baseline_tuition * tuition_change_pct / 100 AS dollars
+    FROM (SELECT *, CASE WHEN tuition_cap_pct <> 0 AND funding_change_pct * 0.2e0 > tuition_cap_pct THEN tuition_cap_pct
+          ELSE funding_change_pct * 0.2e0 END + noise_tuition AS tuition_change_pct,
+        CASE WHEN net_price > 0 THEN net_price ELSE 10000e0 END AS baseline_tuition, coalesce(grad_rate, 60e0) AS baseline_grad_rate,
+        coalesce(pct_low_income, 30e0) AS li, coalesce(pct_minority, 25e0) AS mi
+      FROM (SELECT draw_id, CAST(floor({_drawn("institution")} * (SELECT count(*) FROM customer)) AS BIGINT) AS place, {_DRAWS}
+        FROM range((SELECT count(*) FROM customer)) r(draw_id))
+      JOIN (SELECT *, row_number() OVER (ORDER BY institution_id) - 1 AS place FROM ({INSTITUTIONS})) USING (place))))"""
+SAMPLE_DOUBLES = (
+    "funding_change_pct", "min_wage_change", "childcare_subsidy", "tuition_cap_pct", "tuition_change_pct",
+    "enrollment_change_pct", "grad_rate_change", "equity_risk_score", "baseline_tuition", "baseline_grad_rate",
+    "pct_low_income", "pct_minority",
+)
+
+
+@query("sample_scenarios", SAMPLE, SAMPLE_DOUBLES)
 def sample_scenarios(spark, folder):
     return training_rows(spark, folder)
 
 
-@query("target_summary")
+@query(
+    "target_summary",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS target, avg({c}) AS mean, stddev_samp({c}) AS std FROM ({SAMPLE})"
+        for c in ("tuition_change_pct", "enrollment_change_pct", "grad_rate_change")
+    ),
+    ("mean", "std"),
+)
 def target_summary(spark, folder):
     return outcomes.target_summary(training_rows(spark, folder))["targets"]
 
 
-@query("label_distribution")
+@query("label_distribution", f"SELECT equity_risk_class, count(*) AS row_count FROM ({SAMPLE}) GROUP BY 1")
 def label_distribution(spark, folder):
     return outcomes.target_summary(training_rows(spark, folder))["labels"]
 
 
+@query(
+    "split_rows",
+    f"""SELECT institution_id, (place <= floor(0.2e0 * (n - 1)) + 1)::INT AS test FROM (SELECT institution_id,
+        row_number() OVER (PARTITION BY equity_risk_class ORDER BY u) AS place, count(*) OVER (PARTITION BY equity_risk_class) AS n
+      FROM (SELECT *, ('0x' || substr(md5(institution_id || '|{fixed.SEED}'), 1, 13))::BIGINT AS u FROM ({IMPACT})))""",
+)
+def split_rows(spark, folder):
+    """Which rows are test rows, by id."""
+    rows = mixed(spark, folder).select("institution_id", "equity_risk_class")
+    train, test = features.split(rows, by="equity_risk_class", identity=["institution_id"])
+    both = train.withColumn("test", F.lit(0)).unionByName(test.withColumn("test", F.lit(1)))
+    return both.select("institution_id", "test")
+
+
 @query(
     "split_counts",
     f"""SELECT equity_risk_class, n AS row_count, CAST(floor(0.2e0 * (n - 1)) AS BIGINT) + 1 AS test_count
