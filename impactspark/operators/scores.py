@@ -24,10 +24,9 @@ from impactspark.functions.columns import (
 
 
 def risk_class(score: Column) -> Column:
-    """Low up to 33, Medium up to 66, High above; rounded so that a score that
-    is 66 on paper is not pushed over by its last bit."""
+    """Low up to 33, Medium up to 66, High above, with no tolerance."""
     low, medium = fixed.CLASS_CUTS
-    s = F.round(score, 6)
+    s = score
     return (
         F.when(s <= low, fixed.CLASS_NAMES[0])
         .when(s <= medium, fixed.CLASS_NAMES[1])

@@ -95,7 +95,7 @@ def outcome_sql(source: str) -> str:
 SELECT * EXCLUDE (li, mi, dep, dollars) , dollars AS tuition_change_dollars,
   enrollment * abs(enrollment_change_pct) / 100 AS students_affected,
   (affordability_gap + dollars) / greatest(coalesce(nullif(min_wage_change, 0e0), 15e0), 1e0) AS hours_to_cover_gap,
-  CASE WHEN round(equity_risk_score, 6) <= 33 THEN 'Low' WHEN round(equity_risk_score, 6) <= 66 THEN 'Medium'
+  CASE WHEN equity_risk_score <= 33 THEN 'Low' WHEN equity_risk_score <= 66 THEN 'Medium'
     ELSE 'High' END AS equity_risk_class
 FROM (SELECT *,
     -(dollars / 1000) * 0.035e0 * 100 + greatest(min_wage_change, 0) * 0.5e0

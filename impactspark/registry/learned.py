@@ -168,7 +168,7 @@ SAMPLE = f"""SELECT draw_id, funding_change_pct, min_wage_change, childcare_subs
     + greatest(childcare_subsidy / 1000, 0) * {fixed.CHILDCARE_ENROLLMENT!r}e0 + noise_enrollment AS enrollment_change_pct,
   -(abs(dollars) / baseline_tuition) * stress_slope + greatest(min_wage_change, 0) * {fixed.WAGE_GRADUATION!r}e0
     + greatest(childcare_subsidy / 1000, 0) * {fixed.CHILDCARE_GRADUATION!r}e0 + noise_graduation AS grad_rate_change,
-  score AS equity_risk_score, CASE WHEN round(score, 6) <= 33 THEN 'Low' WHEN round(score, 6) <= 66 THEN 'Medium' ELSE 'High' END AS equity_risk_class
+  score AS equity_risk_score, CASE WHEN score <= 33 THEN 'Low' WHEN score <= 66 THEN 'Medium' ELSE 'High' END AS equity_risk_class
 FROM (SELECT *, least(greatest(li / 100 * 40 + mi / 100 * 30 + least(abs(dollars) / 2000, 1e0) * 30, 0e0), 100e0) AS score
   FROM (SELECT *, baseline_tuition * tuition_change_pct / 100 AS dollars
     FROM (SELECT *, CASE WHEN tuition_cap_pct <> 0 AND funding_change_pct * 0.2e0 > tuition_cap_pct THEN tuition_cap_pct

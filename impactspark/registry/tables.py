@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from impactspark.operators import cleaning, groups, merging
+from impactspark.operators import cleaning, groups, merging, quality
 from impactspark.plans.master import build_master
-from impactspark.plans.scenario import run_scenario
+from impactspark.plans.scenario import rule_predictor, run_scenario
 from impactspark.registry.base import (
     CUT,
     EQUITY_DOUBLES,
@@ -138,6 +138,68 @@ def published_summary(spark, folder):
     )
 
 
+@query(
+    "run_status",
+    """SELECT * FROM (VALUES ('performance', 'success', false), ('broken', 'error', true)) v(scenario, status, has_error)
+      WHERE (SELECT count(*) FROM customer) > 0""",
+)
+def run_status(spark, folder):
+    """The newest status of each scenario after a good run, a failure, and one
+    that failed before it went well."""
+    base, people = fresh_dir(spark, "run"), tables.institutions(spark, folder)
+    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario", "description")
+
+    def broken(df):
+        raise ValueError("no predictions today")
+
+    for name, predict in (("performance", broken), ("performance", rule_predictor), ("broken", broken)):
+        try:
+            run_scenario(spark, name, policies, people, base, predict=predict)
+        except ValueError:
+            continue
+    runs = sinks.latest_runs(spark, base)
+    return runs.select("scenario", "status", F.col("error").isNotNull().alias("has_error"))
+
+
+@query(
+    "output_contract",
+    """SELECT * FROM (VALUES ('name', true), ('latitude', false), ('longitude', false), ('state', true), ('tuition_change_dollars', true),
+      ('students_affected', true), ('equity_risk_class', true), ('institution_id', true)) v("column", present) WHERE (SELECT count(*) FROM customer) > 0""",
+)
+def output_contract(spark, folder):
+    """Which required columns an export of all institutions has."""
+    return sinks.missing_output_columns(impact_view(spark, folder, CUT))
+
+
+@query(
+    "type_mismatches",
+    """SELECT 'name' AS "column", 'double' AS expected, 'string' AS actual WHERE (SELECT count(*) FROM customer) > 0
+      UNION ALL SELECT 'net_price', 'int', 'double'""",
+)
+def type_mismatches(spark, folder):
+    expected = {"name": "double", "state": "string", "net_price": "int", "institution_id": "int", "absent": "int"}
+    return quality.type_mismatches(tables.institutions(spark, folder), expected)
+
+
+REPORTED = ("net_price", "tuition_change_dollars", "students_affected", "enrollment_change_pct")
+_STATISTICS = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, avg({c}) AS mean_value, min({c}) AS min_value, max({c}) AS max_value FROM ({PUBLISHED})"""
+    for c in REPORTED
+)
+
+
+@query("scenario_reports", _STATISTICS, ("mean_value", "min_value", "max_value"))
+def scenario_reports(spark, folder):
+    """A run with analysis: the statistics of its scenario, read back as JSON."""
+    base = fresh_dir(spark, "run")
+    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario", "description")
+    done = run_scenario(spark, "performance", policies, tables.institutions(spark, folder), base, analysis=True)
+    rows = spark.read.json(done["statistics"]).filter(F.col("column").isin(*REPORTED))
+    return rows.select(
+        "column", F.col("count").cast("long").alias("n"), F.col("mean").alias("mean_value"), F.col("min").alias("min_value"), F.col("max").alias("max_value")
+    )
+
+
 MERGE_SQL = """
 WITH a AS (SELECT CASE WHEN o_custkey = 7 THEN NULL ELSE o_custkey END AS k, o_orderkey, o_totalprice AS price FROM orders),
 b AS (SELECT CASE WHEN p_partkey = 7 THEN NULL ELSE p_partkey END AS k, p_size, p_retailprice AS price FROM part),
