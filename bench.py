@@ -49,7 +49,11 @@ HEADLINES = (
     "join_equity",
     "bill_clean",
     "bill_params",
+    "bill_money",
     "bill_impact",
+    "stream_publish",
+    "published_equity",
+    "quality_score",
     "feature_matrix",
     "split_counts",
     "regression_metrics",

@@ -91,7 +91,7 @@ def publish_batch(
         summary = impact.plain_sentence(impact.impact_summary(rows, ["policy_id"]))
         for df, kind in ((equity, "equity"), (summary, "summary")):
             store(bills.join(df, "policy_id"), kind)
-        blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+        blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
         record(
             F.when(blank, "error").otherwise("success"),
             F.when(blank, "the bill has no text"),

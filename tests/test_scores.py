@@ -38,7 +38,7 @@ def test_indicators(spark):
 
 @pytest.mark.parametrize(
     ("score", "name"),
-    [(33.0, "Low"), (33.00001, "Medium"), (66.00000000001, "Medium"), (66.1, "High"), (None, None)],
+    [(33.0, "Low"), (33.00001, "Medium"), (66.0, "Medium"), (66.00000000001, "High"), (66.1, "High"), (None, None)],
 )
 def test_class_cuts(spark, score, name):
     df = spark.createDataFrame([(score,)], "s double")
