@@ -56,7 +56,18 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-NAME = re.compile(r"[a-z]+(?:-bar)?")
+DIGITS = re.compile(r"\d+")
+# a compound that begins with one of these speaks of the text it stands at
+KEPT_LEADS = frozenset("with has no article entry post content main page story title".split())
+
+
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id, or the first or last part of one, is furniture's."""
+    name = DIGITS.sub("", name).replace("_", "-").strip("-")
+    if name in FURNITURE_NAMES:
+        return True
+    parts = name.split("-")
+    return len(parts) > 1 and parts[0] not in KEPT_LEADS and (parts[0] in FURNITURE_NAMES or parts[-1] in FURNITURE_NAMES)
 
 
 @dataclass
@@ -76,7 +87,7 @@ def _furnishes(name: str, rest: str) -> bool:
         key, value = key.lower(), "".join(values).lower()
         if key == "role" and value in FURNITURE_ROLES:
             return True
-        if key in ("class", "id") and any(w in FURNITURE_NAMES for part in value.split() for w in NAME.findall(part.replace("_", "-"))):
+        if key in ("class", "id") and any(map(_names_furniture, value.split())):
             return True
         if key in ("hidden",) or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True

@@ -39,6 +39,7 @@ def test_main_text():
     bare = f"""<body><div class=menu><a href=a>Home</a> <a href=b>News</a></div><div><div><h2>Title of it</h2><p>{ARTICLE}</p><p>End.</p></div></div>
       <ul><li><a href=1>{ARTICLE}</a></li></ul><div class="footer">{ARTICLE}</div></body>"""
     assert html.main_text(bare) == f"Title of it {story} End."
+    assert html.main_text(f'<div class="post-content with-sidebar"><div class="entry-header"><h1>T</h1></div><p>{ARTICLE}</div><div id="sidebar_2">x</div>') == f"T {story}"
     assert html.main_text("just a line") == "just a line"
     assert html.main_text("") == html.main_text("<nav>x</nav>") == html.main_text("<script>x") == ""
     assert html.main_text('<p class="open>text') in ("", "text")  # a quote that never closes
