@@ -92,7 +92,7 @@ def test_normaliser_on_any_gzip_layout(spark):
             whole = f.read()
         assert zlib.decompressobj(warc.GZIP).decompress(whole) == records[0]  # a member holds one record
         assert gzip.decompress(whole) == b"".join(records)
-        with opened(manifest.index) as f:
+        with opened(manifest["index"]) as f:
             import json
 
             entries = [json.loads(x) for x in f.read().splitlines()]
@@ -141,10 +141,10 @@ def test_secrets_held_out(spark, awkward, no_docs, some_docs):
     fresh = secrets._made_up(1500, seed=99)
     texts = [t for t, *_ in fresh]
     found = secrets.findings(texts, net)
-    hit = [any(s < e and a < b for a, _, b in spans for s in (0,) for e in (1,)) and any(a < e and s < b for a, _, b in spans) for (_, s, e, _), spans in zip(fresh, found, strict=True)]
+    hit = np.array([any(a < e and s < b for a, _, b in spans) for (_, s, e, _), spans in zip(fresh, found, strict=True)])
+    added = np.array([any(k == 3 for _, k, _ in spans) for spans in found])
     truth = np.array([y for *_, y in fresh], bool)
-    hit = np.array(hit)
-    assert hit[truth].mean() > 0.85 and hit[~truth].mean() < 0.03
+    assert hit[truth].mean() > 0.85 and added[truth].mean() > 0.3 and added[~truth].mean() < 0.03
     again = secrets.train(some_docs)
     assert all((a == b).all() for a, b in zip(net.parts(), again.parts(), strict=True)) and net.thresholds == again.thresholds
     rows = {r.doc_id: r.spans for r in secrets.scan(awkward.drop("spans"), net).collect()}
@@ -179,10 +179,11 @@ def test_quality_facts(awkward, no_docs):
 
 
 def test_frequent_lines(spark):
-    own = lambda i, n: "\n".join(" ".join(f"d{i}w{k}" for k in range(n * j, n * j + n)) for j in range(6))
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # noqa: E731  digits would be alike
+    own = lambda i, n: "\n".join(" ".join(f"d{name(i)}w{name(k)}" for k in range(n * j, n * j + n)) for j in range(6))
     notice = "Copyright 2020 of this very site and all its friends around"
-    rows = [(i, own(i, 12) + f"\n{notice.replace('2020', str(2000 + i))}\n" + f"end{i}", "hot") for i in range(40)]
-    rows += [(100 + i, f"start{i}\n" + (notice + "\n") * 10 + f"end{i}", "hot") for i in range(30)]
+    rows = [(i, own(i, 12) + f"\n{notice.replace('2020', str(2000 + i))}\n" + f"end{name(i)}", "hot") for i in range(40)]
+    rows += [(100 + i, f"start{name(i)}\n" + (notice + "\n") * 10 + f"end{name(i)}", "hot") for i in range(30)]
     rows += [(200 + i, own(1, 12) + "\nthe same end", "cold") for i in range(60)]  # copies are one document
     rows += [(300 + i, own(300 + i, 12) + f"\n{notice}", None) for i in range(10)]  # rare at its host
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -192,7 +193,7 @@ def test_frequent_lines(spark):
     assert all(got[200 + i].kept and got[200 + i].n_boilerplate_words == 0 for i in range(60))
     assert all(got[300 + i].kept and got[300 + i].n_boilerplate_words == 0 for i in range(10))
     clean = {r.doc_id: r.text for r in quality.cleaned(docs).collect()}
-    assert clean[0] == own(0, 12) + "\nend0" and clean[200] == own(1, 12) + "\nthe same end" and 100 not in clean
+    assert clean[0] == own(0, 12) + "\nenda" and clean[200] == own(1, 12) + "\nthe same end" and 100 not in clean
 
 
 def test_mixing(spark, awkward, no_docs, some_docs):
