@@ -117,3 +117,20 @@ def test_missing_file_is_skipped_and_none_is_an_error(spark, tmp_path):
     assert found["a"].columns == ["institution_id", "net_price"]
     with pytest.raises(ValueError, match="none of the data sets"):
         scan.read_sources(spark, {"b": "b.csv"}, folder=str(tmp_path))
+
+
+def test_null_keys_apart(spark):
+    from impactspark.operators import merging
+
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "institution_id long, x string")
+    right = spark.createDataFrame([(1, "d"), (None, "e"), (None, "f")], "institution_id long, y string")
+    assert merging.outer_merge({"l": left, "r": right}).count() == 5
+    rows = {(r.institution_id, r.x, r.y) for r in merging.outer_merge({"l": left, "r": right}, null_keys="apart").collect()}
+    assert rows == {(1, "a", "d"), (None, "b", None), (None, "c", None), (None, None, "e"), (None, None, "f")}
+
+
+def test_duplicates_by_hash_tell_nulls_apart(spark):
+    from impactspark.operators import quality
+
+    rows = [(None, "a"), ("a", None), ("a", None), (None, None), (None, None), ("", None)]
+    assert quality.duplicate_rows(spark.createDataFrame(rows, "x string, y string")).first().duplicate_rows == 2
