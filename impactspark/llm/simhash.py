@@ -31,6 +31,7 @@ BITS = 64
 SMALLEST_BLOCK, LARGEST_BLOCK = 4_096, 65_536  # fingerprints in a subtree
 DEEPER = 4  # levels by which a subtree that is too large is cut again
 PORTION = 200_000  # node pairs taken together
+ROUNDS = 5  # turns in which rows unlike the first of their class are compared
 NAMELESS = 3 << 61  # ids from here on stand for rows without doc_id
 
 
@@ -282,16 +283,18 @@ def classes(marked: DataFrame, budget: int) -> DataFrame:
     return nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
 
 
-def deduplicated(docs: DataFrame, budget: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, budget: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` (doc_id, text, ...) with one row of each group of copies, by the
     smallest doc_id. Same columns.
 
     Fingerprints are taken over the distinct single words, whose bits an edit
     moves least, and classes of linked fingerprints are then checked exactly: a
     row goes if its shingles of `words` words have at least `similarity` in
-    common (Jaccard) with those of a row that stays. Rows of a class that are
-    not so similar to its first row go on to a next round among themselves, so
-    none is dropped for a link that is only one of bits. Empty texts are alike.
+    common (Jaccard) with those of a row before it. All rows of a class are
+    held against its first; those unlike it are held against the first of their
+    own least shingle, in `ROUNDS` orders of shingles, so that a class that only
+    bits have joined is taken apart in many groups at once. None is dropped for
+    a link of bits alone. Empty texts are alike.
     """
     # the row itself in one column, so that no name of its own clashes
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").cast("long").alias("__id"))
@@ -310,18 +313,22 @@ def deduplicated(docs: DataFrame, budget: int = 3, words: int = 5, similarity: f
     first = F.struct(F.col("__id").isNull().alias("nameless"), F.col("__id").alias("id"), "__row")
     open_rows = rows.join(members, "__row").select("root", "__row", first.alias("__first"), hashes(whole_text("__doc.text")).alias("__s"))
     gone = None
-    while True:
-        open_rows = stored(open_rows, "open")
+    for turn in range(ROUNDS + 1):
+        least = F.array_min(F.transform("__s", lambda h, t=turn: F.xxhash64(h, F.lit(t)))) if turn else F.lit(0).cast("long")
+        open_rows = stored(open_rows.withColumn("__g", F.coalesce(least, F.lit(0))), "open")
         if open_rows.isEmpty():
             break
-        leaders = open_rows.groupBy("root").agg(F.min("__first").alias("__lead")).select(F.col("__lead")["__row"].alias("__lead"))
-        lead = open_rows.join(leaders, open_rows["__row"] == leaders["__lead"]).select("root", "__lead", F.col("__s").alias("__ls"))
+        leaders = open_rows.groupBy("root", "__g").agg(F.min("__first").alias("__lead")).select(F.col("__lead")["__row"].alias("__lead"))
+        lead = open_rows.join(leaders, open_rows["__row"] == leaders["__lead"]).select("root", "__g", "__lead", F.col("__s").alias("__ls"))
         both = F.size(F.array_intersect("__s", "__ls"))
         either = F.size("__s") + F.size("__ls") - both
-        beside = open_rows.join(lead, "root").filter("__row != __lead").withColumn("__alike", (either == 0) | (both >= similarity * either))
-        beside = stored(beside.select("root", "__row", "__first", "__s", "__alike"), "beside")
+        alike = (F.col("__row") != F.col("__lead")) & ((either == 0) | (both >= similarity * either))
+        beside = open_rows.join(lead, ["root", "__g"]).withColumn("__alike", alike)
+        beside = stored(beside.select("root", "__row", "__lead", "__first", "__s", "__alike"), "beside")
         out = beside.filter("__alike").select("__row")
         gone = out if gone is None else gone.unionByName(out)
-        open_rows = beside.filter("NOT __alike").drop("__alike")
+        # in the first turn the leader has met all of its class
+        rest = beside.filter("NOT __alike") if turn else beside.filter("NOT __alike AND __row != __lead")
+        open_rows = rest.select("root", "__row", "__first", "__s")
     kept = rows if gone is None else rows.join(gone, "__row", "left_anti")
     return kept.select("__doc.*")
