@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impactspark.llm.common import Memo, ship, whole_text
+from impactspark.llm.common import Memo, ship, stored, whole_text
 
 BUCKETS = 1 << 18
 FIT_ROWS = 12_000  # labelled rows the linear model is fitted on, at most
@@ -62,6 +62,35 @@ def features(text: str) -> np.ndarray:
     return np.array(sorted(found), np.int32)
 
 
+def pack(at: np.ndarray) -> bytes:
+    """Sorted buckets as 16-bit gaps; a gap of 65535 goes on in the next one."""
+    gaps = np.diff(at.astype(np.int64), prepend=0)
+    longer = gaps // 65535
+    if not longer.any():
+        return gaps.astype("<u2").tobytes()
+    out = np.full(len(gaps) + int(longer.sum()), 65535, "<u2")
+    out[np.arange(len(gaps)) + np.cumsum(longer)] = gaps % 65535
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, "<u2")
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """Per row doc_id and its n-grams, stored: texts are read once, and only
+    the n-grams, a fraction of their size, are shuffled. NULL is an empty text."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([pack(features(t)) for t in texts], dtype="object")
+
+    return stored(docs.select("doc_id", run(whole_text()).alias("x")), "ngrams")
+
+
 @dataclass
 class Model:
     ratio: np.ndarray
@@ -128,7 +157,7 @@ def fold(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fit on labelled documents outside the held-out fold.
+    """Fit on labelled documents (`featured`) outside the held-out fold.
 
     Counts cover all of them; the linear model sees at most `rows`, those whose
     ids have the smallest hashes. Rows with a NULL label or id have no part.
@@ -136,18 +165,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """
     ship(docs.sparkSession)
     marks = labels.select("doc_id", (F.col(label) > 0).cast("int").alias("__y")).dropna().filter(fold() != HELD_OUT)
-    texts = docs.select("doc_id", whole_text().alias("__text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for text, y in zip(batch["__text"], batch["__y"], strict=True):
-                seen[y, features(text)] += 1
+            for x, y in zip(batch["x"], batch["__y"], strict=True):
+                seen[y, unpack(x)] += 1
                 n[y] += 1
         at = np.flatnonzero(seen.any(0))
         yield pd.DataFrame({"at": [-1, *at], "down": [n[0], *seen[0, at]], "up": [n[1], *seen[1, at]]})
 
-    counted = texts.join(marks, "doc_id").select("__text", "__y").mapInPandas(count, "at int, down long, up long")
+    counted = docs.join(marks, "doc_id").select("x", "__y").mapInPandas(count, "at int, down long, up long")
     # one row per bucket, whatever the number of documents
     sums = counted.groupBy("at").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).toPandas()
     n = sums[sums["at"] < 0]
@@ -161,14 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     seen[1, sums["at"]] += sums["up"]
     ratio = np.log(seen[1] / (up + 2 * SMOOTHING)) - np.log(seen[0] / (down + 2 * SMOOTHING))
     few = marks.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id", "__y").limit(rows)
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"h": batch["__h"], "y": batch["__y"], "x": [features(t).tobytes() for t in batch["__text"]]})
-
-    sample = texts.join(few, "doc_id").select("__text", "__y", "__h").mapInPandas(extract, "h long, y int, x binary").toPandas()
+    # `few` has at most `rows` rows
+    sample = docs.join(F.broadcast(few), "doc_id").select("x", F.col("__y").alias("y"), F.col("__h").alias("h")).toPandas()
     sample = sample.sort_values(["h", "y", "x"], kind="stable")
-    inputs = [np.frombuffer(x, np.int32) for x in sample["x"]]
+    inputs = [unpack(x) for x in sample["x"]]
     signs = np.where(sample["y"].to_numpy() > 0, 1.0, -1.0)
     apart = np.arange(len(inputs)) % 5 == 0
     w, bias = descend([x for x, out in zip(inputs, apart, strict=True) if not out], signs[~apart], ratio)
@@ -179,15 +203,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of `docs`: doc_id, held_out, score, predicted. Only the text is
-    read for the score; a NULL text counts as empty; equal texts score alike."""
+    """Per row of `docs` (`featured`): doc_id, held_out, score, predicted. Only
+    the text's n-grams have a part in the score; equal texts score alike."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shared.value.score(features(t)) for t in texts], dtype="float64")
+        for batch in batches:
+            yield pd.Series([shared.value.score(unpack(x)) for x in batch], dtype="float64")
 
-    out = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), run(whole_text()).alias("score"))
+    out = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), run("x").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

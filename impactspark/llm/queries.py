@@ -93,7 +93,7 @@ def op8_id_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_nb_svm(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
+    docs = nbsvm.featured(documents(spark, folder))
     return nbsvm.scored(docs, nbsvm.train(docs, read_table(spark, folder, "labels")))
 
 
