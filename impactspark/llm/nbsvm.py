@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         at = np.flatnonzero(seen.any(0))
         yield pd.DataFrame({"at": [-1, *at], "down": [n[0], *seen[0, at]], "up": [n[1], *seen[1, at]]})
 
-    counted = docs.join(marks, "doc_id").select("x", "__y").mapInPandas(count, "at int, down long, up long")
+    # labels grow with the documents: the same join at every size, no broadcast
+    counted = docs.join(marks.hint("merge"), "doc_id").select("x", "__y").mapInPandas(count, "at int, down long, up long")
     # one row per bucket, whatever the number of documents
     sums = counted.groupBy("at").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).toPandas()
     n = sums[sums["at"] < 0]
