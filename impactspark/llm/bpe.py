@@ -190,8 +190,10 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        of_piece = self.of_piece
-        return b"".join([of_piece[p] for p in text.encode().split()])
+        of_piece, raw = self.of_piece, text.encode()
+        if b"<" not in raw:  # no special token, whose case would matter
+            raw = raw.lower()
+        return b"".join([of_piece[p] for p in raw.split()])
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, space-joined as a file without decoder asks."""

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from impactspark.llm.bpe import byte_letters
 from impactspark.llm.common import Memo, ship, stored, whole_text
 from impactspark.llm.files import attempt_name, make_folder, opened, written
 from impactspark.sources.folders import fresh_dir
@@ -37,18 +39,19 @@ from impactspark.sources.folders import fresh_dir
 MAGIC = b"IDLEVELS"
 CHUNK_BITS = 8
 BLOCK = 512
-FILE_IDS = 8_000_000  # ids after which a task begins the next file
+CACHED = 250_000  # pieces a worker keeps
+FILE_IDS = 4_000_000  # ids after which a task begins the next file
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 _ENDS = "<u8"
 
 
 def _levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Chunks and continuation marks of each level."""
-    out, rest = [], ids.astype(np.uint64)
+    out, rest = [], ids.astype(np.uint32)
     while True:
-        more = rest >> np.uint64(CHUNK_BITS)
+        more = rest >> np.uint32(CHUNK_BITS)
         marks = more > 0
-        out.append(((rest & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.uint8), marks))
+        out.append(((rest & np.uint32((1 << CHUNK_BITS) - 1)).astype(np.uint8), marks))
         if not marks.any():
             return out
         rest = more[marks]
@@ -152,25 +155,37 @@ class Encoder:
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": self.SPLIT} and splits[0].get("invert")
-        self.of_core = Memo(lambda core: self._library(core.decode()))
-        self.of_piece = Memo(self._piece)
+        self.letters = byte_letters()
+        self.of_core = Memo(self._core, CACHED)
+        self.of_piece = Memo(self._piece, CACHED)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _core(self, core: bytes) -> bytes:
+        text = core.decode()
+        if not text.isalpha() or not (text.isascii() or unicodedata.is_normalized("NFC", text) and text == text.lower()):
+            return self._library(text)
+        # letters alone, as the normalizer leaves them, are one word of the model
+        word = text if text.isascii() else "".join([self.letters[b] for b in core])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+
     def _piece(self, piece: bytes) -> bytes:
         # signs after a last ASCII letter or digit are a word of their own
         core = piece.rstrip(self.SIGNS)
-        if not core.isalnum():
+        if not core[-1:].isalnum():
             return self.of_core[piece]
-        ids = self.of_core[core.lower()]
+        ids = self.of_core[core]
         return ids + self.of_core[piece[len(core) :]] if len(core) < len(piece) else ids
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             return self._library(text)
-        of_piece = self.of_piece
-        return b"".join([of_piece[p] for p in text.encode().split()])
+        of_piece, raw = self.of_piece, text.encode()
+        if b"<" not in raw:  # no special token, whose case would matter
+            raw = raw.lower()
+            return b"".join([of_piece[p] for p in raw.split()])
+        return b"".join([of_piece[p] if p.islower() else self._library(p.decode()) for p in raw.split()])
 
 
 _encoders: dict[str, Encoder] = {}
