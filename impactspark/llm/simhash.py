@@ -31,7 +31,8 @@ BITS = 64
 SMALLEST_BLOCK, LARGEST_BLOCK = 4_096, 65_536  # fingerprints in a subtree
 DEEPER = 4  # levels by which a subtree that is too large is cut again
 PORTION = 200_000  # node pairs taken together
-ROUNDS = 5  # turns in which rows unlike the first of their class are compared
+ROUNDS = 5  # turns that take large groups of copies away before all pairs are joined
+TOGETHER = 1_000  # rows of a class with a shingle in common that one task pairs
 NAMELESS = 3 << 61  # ids from here on stand for rows without doc_id
 
 
@@ -292,9 +293,11 @@ def deduplicated(docs: DataFrame, budget: int = 2, words: int = 5, similarity: f
     row goes if its shingles of `words` words have at least `similarity` in
     common (Jaccard) with those of a row before it. All rows of a class are
     held against its first; those unlike it are held against the first of their
-    own least shingle, in `ROUNDS` orders of shingles, so that a class that only
-    bits have joined is taken apart in many groups at once. None is dropped for
-    a link of bits alone. Empty texts are alike.
+    own least shingle, in `ROUNDS` orders of shingles, which takes large groups
+    of copies away without their pairs; among the rows that are left every
+    pair that can be alike is joined (`alike_rows`). So no two rows that stay in
+    a class are alike, and none is dropped for a link of bits alone. Empty texts
+    are alike.
     """
     # the row itself in one column, so that no name of its own clashes
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").cast("long").alias("__id"))
@@ -330,5 +333,54 @@ def deduplicated(docs: DataFrame, budget: int = 2, words: int = 5, similarity: f
         # in the first turn the leader has met all of its class
         rest = beside.filter("NOT __alike") if turn else beside.filter("NOT __alike AND __row != __lead")
         open_rows = rest.select("root", "__row", "__first", "__s")
+    else:
+        gone = gone.unionByName(alike_rows(open_rows, similarity))
     kept = rows if gone is None else rows.join(gone, "__row", "left_anti")
     return kept.select("__doc.*")
+
+
+def alike_rows(rows: DataFrame, similarity: float) -> DataFrame:
+    """Of `rows` (root, __row, __first, __s) the `__row` of each that is alike to
+    one before it in its class, exactly, by a prefix filter.
+
+    A row's shingles are ordered from the rarest in its class to the commonest.
+    Two rows that are alike have one in common among the first of both, and the
+    first that they have in common leaves enough behind it in both; only such
+    pairs are held against each other. Shingles of one row alone only count as
+    places, and a row that has too many of them meets nobody.
+    """
+    rows = stored(rows.withColumn("__n", F.size("__s")), "unlike")
+    shingles = rows.select("__row", F.explode("__s").alias("__h"), "root").select("__row", F.xxhash64("root", "__h").alias("__k"))
+    counts = shingles.groupBy("__k").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1")
+    common = shingles.join(counts, "__k").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__c", "__k"))).alias("__common"))
+    # 1e-6: no pair is lost to the rounding of a product
+    prefix = F.col("__n") - F.ceil(similarity * F.col("__n") - 1e-6) + 1
+    placed = rows.select("root", "__row", "__first", "__n").join(common, "__row")
+    placed = placed.withColumn("__own", F.col("__n") - F.size("__common")).filter(F.col("__own") < prefix)
+    placed = placed.withColumn("__lead", F.slice("__common", F.lit(1), F.greatest(F.lit(0), prefix - F.col("__own")).cast("int")))
+    placed = placed.select("root", "__row", "__first", "__n", "__own", F.posexplode("__lead").alias("__i", "__t"))
+    placed = stored(
+        placed.select("root", "__row", "__first", "__n", (F.col("__own") + F.col("__i")).alias("__at"), F.col("__t.__k").alias("__k"), F.col("__t.__c").alias("__c")),
+        "prefixes",
+    )
+    # a common shingle's pairs are dealt over tasks
+    parts = F.ceil(F.col("__c") / TOGETHER)
+    after = placed.withColumn("__part", F.pmod(F.xxhash64("__row"), parts))
+    before = placed.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    a, b = after.alias("a"), before.alias("b")
+    rest = F.least(F.col("a.__n") - F.col("a.__at"), F.col("b.__n") - F.col("b.__at"))
+    sizes = F.col("a.__n") + F.col("b.__n")
+    met = a.join(
+        b,
+        (F.col("a.__k") == F.col("b.__k"))
+        & (F.col("a.__part") == F.col("b.__part"))
+        & (F.col("a.root") == F.col("b.root"))
+        & (F.col("b.__first") < F.col("a.__first"))
+        & (F.least("a.__n", "b.__n") >= similarity * F.greatest("a.__n", "b.__n") - 1e-6)
+        & (rest * (1 + similarity) >= similarity * sizes - 1e-6),
+    )
+    pairs = stored(met.select(F.col("a.__row").alias("__row"), F.col("b.__row").alias("__before")).distinct(), "pairs")
+    left = pairs.join(rows.select("__row", "__s"), "__row")
+    both = F.size(F.array_intersect("__s", "__bs"))
+    found = left.join(rows.select(F.col("__row").alias("__before"), F.col("__s").alias("__bs")), "__before")
+    return found.filter(both >= similarity * (F.size("__s") + F.size("__bs") - both)).select("__row").distinct()

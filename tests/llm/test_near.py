@@ -105,3 +105,37 @@ def test_links_of_bits_alone_drop_nothing(spark, monkeypatch):
     rows = [(10 * k + j, t + (" end" if j else "")) for k, t in enumerate(texts) for j in range(3)]
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [0, 10, 20]
+
+
+def test_all_pairs_of_a_mixed_class_are_met(spark, monkeypatch):
+    # one class whose members share a third of their text, so that the least shingle is often the passage's
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a, **k: nodes.crossJoin(nodes.selectExpr("min(id) AS m")).selectExpr("id AS a", "m AS b"))
+    monkeypatch.setattr(simhash, "TOGETHER", 16, raising=False)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {}
+    for k in range(60):
+        own = [f"d{k}w{i}" for i in range(80)]
+        texts[k] = passage + own
+        if k % 2:
+            # a copy with edits: from well over the similarity to under it
+            copy = [*own]
+            for i in range(k % 7):
+                copy[9 + 11 * i] = "edit"
+            texts[100 + k] = passage + copy
+    sets = {k: set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for k, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = [k for k in sets if not any(alike(k, q) for q in sets if q < k)]
+    assert 60 < len(want) < len(sets) - 10
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(frame).collect()) == sorted(want)
+
+
+def test_prefix_join_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):  # small sets over few values, two classes, sizes around each other
+        rows.append((i % 2, i, sorted(rng.choice(14, rng.integers(1, 13), replace=False).tolist())))
+    frame = spark.createDataFrame(rows, "root long, __row long, __s array<long>").selectExpr("root", "__row", "struct(false AS nameless, __row AS id, __row) AS __first", "__s")
+    want = {r for c, r, s in rows if any(d == c and q < r and len({*s} & {*t}) >= 0.8 * len({*s} | {*t}) for d, q, t in rows)}
+    assert 20 < len(want) < 140
+    assert {r["__row"] for r in simhash.alike_rows(frame, 0.8).collect()} == want
