@@ -1,10 +1,8 @@
 """Quality rules: repetition inside a document, frequent lines across documents.
 
 Lines are normalised and hashed. Per host and line the documents are counted,
-copies as one: documents in which the line stands between the same neighbours
-are the same passage of copies, so what counts is the number of different
-neighbourhoods. A line above the limit, most of whose documents differ in them,
-is boilerplate of its host. Its lines are removed, and a document of which too
+copies as one: documents of the same set of lines. A line above the limit is
+boilerplate of its host. Its lines are removed, and a document of which too
 little is left is rejected.
 """
 
@@ -12,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +23,8 @@ from impactspark.llm.common import WORD, ship, stored, whole_text
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
-LINE_LIMIT = 20  # neighbourhoods of a line within a host
-MOST_ALIKE = 2  # documents per neighbourhood, on average, of a frequent line
+LINE_LIMIT = 20  # documents with a line within a host
+MOST_ALIKE = 2  # only in `sql`, which still counts neighbourhoods
 LEAST_LEFT = 30  # percent of the words
 WINDOW = 3
 
@@ -63,7 +61,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def facts(text: str) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, copy_key, lines."""
     raw = text.encode()
     words = raw.split()
     seen: set[bytes] = set()
@@ -80,22 +78,18 @@ def facts(text: str) -> tuple:
     total: Counter[int] = Counter()
     for h, n in zip(hashes, counts, strict=True):
         total[h] += n
-    lines, done = [], set()
-    for i, h in enumerate(hashes):
-        if h not in done:
-            done.add(h)
-            around = (hashes[i - 1] if i else 0, hashes[i + 1] if i + 1 < len(hashes) else 0)
-            lines.append({"h": h, "around": hash_pair(*around), "words": total[h]})
+    lines = [{"h": h, "words": n} for h, n in total.items()]
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return len(words), len(b"".join(words).decode()), symbols, again, repeated_words(words), lines
+    return len(words), len(b"".join(words).decode()), symbols, again, repeated_words(words), set_hash(total), lines
 
 
-def hash_pair(a: int, b: int) -> int:
-    return xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True)) - (1 << 63)
+def set_hash(hashes: Iterable[int]) -> int:
+    """The same for all documents of the same lines, however often and in what order."""
+    return xxhash.xxh64_intdigest(np.sort(np.array([*hashes], np.int64)).tobytes()) - (1 << 63)
 
 
 NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FACTS = ", ".join(f"{c} long" for c in NUMBERS) + ", lines array<struct<h: long, around: long, words: long>>"
+FACTS = ", ".join(f"{c} long" for c in NUMBERS) + ", copy_key long, lines array<struct<h: long, words: long>>"
 
 
 def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -103,25 +97,23 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tup
     `__frequent` (hashes of the lines to remove) and the columns in `carry`.
 
     A NULL text counts as empty and fails; NULL is a host of its own. Repeated
-    rows are judged alike. A text without line breaks has no neighbours, so
-    copies of it never make its line frequent.
+    rows are judged alike, and rows of the same lines count as one document.
     """
     ship(docs.sparkSession)
 
     @F.pandas_udf(FACTS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([facts(t) for t in texts], columns=[*NUMBERS, "lines"])
+            yield pd.DataFrame([facts(t) for t in texts], columns=[*NUMBERS, "copy_key", "lines"])
 
     rows = docs.select("doc_id", F.col(host).alias("__host"), run(whole_text(text)).alias("__f"), *carry)
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "__host", "__f.*", *carry), "facts")
-    lines = rows.select("__row", F.col("__host"), F.inline("lines")).withColumn("__key", F.xxhash64("__host", "h"))
-    once = lines.groupBy("__key", "around").agg(F.count(F.lit(1)).alias("n"))
-    sums = once.groupBy("__key").agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("docs"))
-    frequent = sums.filter((F.col("places") > LINE_LIMIT) & (F.col("places") * MOST_ALIKE >= F.col("docs"))).select("__key")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "__host", *[F.col(f"__f.{c}") for c in NUMBERS], F.col("__f.copy_key").alias("__copy"), "__f.lines", *carry), "facts")
+    lines = rows.select("__row", "__copy", "__host", F.inline("lines")).withColumn("__key", F.xxhash64("__host", "h"))
+    once = lines.select("__key", "__copy").distinct()
+    frequent = once.groupBy("__key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > LINE_LIMIT).select("__key")
     # at most as many lines meet here as one document has
     gone = lines.join(frequent, "__key").groupBy("__row").agg(F.sum("words").alias("__gone"), F.collect_list("h").alias("__frequent"))
-    out = rows.drop("lines").join(gone, "__row", "left")
+    out = rows.drop("lines", "__copy").join(gone, "__row", "left")
     n = F.col("n_words")
     out = out.withColumn("n_boilerplate_words", F.coalesce("__gone", F.lit(0))).withColumn(
         "base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * n)
@@ -158,7 +150,9 @@ def drop_lines(text: str, hashes: set[int]) -> str:
 
 
 def sql() -> str:
-    """The same for DuckDB, with the lines themselves in place of their hashes."""
+    """For DuckDB, with the lines themselves in place of their hashes. It counts
+    neighbourhoods of a line where `judged` counts documents, so the two differ
+    in `n_boilerplate_words` and `kept` where a line is frequent."""
     upper, lower = (bytes(range(ord(c), ord(c) + 26)).decode() for c in "Aa")
     signs = SYMBOLS.decode()
     return f"""

@@ -196,6 +196,21 @@ def test_frequent_lines(spark):
     assert clean[0] == own(0, 12) + "\nenda" and clean[200] == own(1, 12) + "\nthe same end" and 100 not in clean
 
 
+def test_whole_boilerplate_is_found_beside_copies(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    own = lambda i: "\n".join(" ".join(f"d{name(i)}w{name(k)}" for k in range(12 * j, 12 * j + 12)) for j in range(6))
+    footer = "\n".join(["all rights are with the owner", "write to the owner of this site", "made by the friends of it"])
+    notice = "a notice that many copies carry too"
+    rows = [(i, f"{own(i)}\n{footer}", "footers") for i in range(30)]
+    rows += [(100 + i, f"few{name(i)}\n" + (footer + "\n") * 5, "footers") for i in range(10)]
+    rows += [(200 + i, f"{own(200 + i)}\n{notice}", "copied") for i in range(30)]
+    rows += [(300 + i, f"{own(300)}\n{notice}", "copied") for i in range(150)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_boilerplate_words == 19 and got[i].kept for i in range(30))
+    assert all(got[100 + i].n_boilerplate_words == 95 for i in range(10))
+    assert all(got[i].n_boilerplate_words == 7 and got[i].kept for i in [*range(200, 230), *range(300, 450)])
+
+
 def test_mixing(spark, awkward, no_docs, some_docs):
     for docs in (awkward, some_docs):
         rows = mixing.mix(docs, block=16).select("doc_id", "size", "source_size", "target", "taken").collect()
