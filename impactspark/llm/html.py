@@ -31,6 +31,7 @@ SMALL_PART = 0.2  # of the largest stretch: what a further stretch must have
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object".split())
+FOREIGN = frozenset("svg math".split())  # of RAW: may be closed by their own tag
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search "
@@ -56,6 +57,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'=]+$")  # a slash there is the value's
 DIGITS = re.compile(r"\d+")
 # a compound that begins with one of these speaks of the text it stands at
 KEPT_LEADS = frozenset("with has no article entry post content main page story title".split())
@@ -141,6 +143,8 @@ def lines(page: str) -> list[Line]:
         if name in RAW and not closing:
             if name in BLOCKS:
                 close_line()
+            if name in FOREIGN and rest.endswith("/") and not UNQUOTED_END.search(rest):
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue

@@ -46,6 +46,14 @@ def test_main_text():
     assert html.main_text("<!-- c --><p>a</p><![CDATA[x]]><p hidden>b</p>") == "a"
 
 
+def test_self_closed_icons():
+    story = f"<article><p>{ARTICLE}</p><svg viewBox='0 0 1 1'><text>no</text></svg><p>End.</p></article>"
+    want = ARTICLE.replace("&amp;", "&") + " End."
+    for icon in ("<svg class='icon'/>", "<svg/>", '<math display="block" />', "<svg width=1 />"):
+        assert html.main_text(f"<body>{icon}{story}") == html.main_text(f"<body>{icon}{story}<svg></svg>") == want
+    assert html.main_text(f"<body><svg width=1/><text>no</text></svg>{story}") == want  # 1/ is the width
+
+
 def test_line_blocks():
     weights = np.array([0, 5, 0, 0, 0, 0, 90, 3, 0, 40, 0, 0, 0, 0, 7, 0])
     assert html.stretches(weights, 80) == [(6, 10)]
