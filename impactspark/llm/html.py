@@ -1,12 +1,12 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines: every edge of a block element ends a line, so
-that containers leave empty lines between them. A line weighs as many
-characters as it has outside links; lines of page furniture weigh nothing, and
-where a page marks its article or main part, so do lines outside it. A block is
-the sum of a window of lines. The main text begins where the block sums surge
-over the threshold and ends where they dive to nothing; what stands between is
-kept whole, but for furniture.
+Markup is stripped into lines: every edge of a block element ends a line. A
+line weighs as many characters as it has; lines of page furniture and of links
+weigh nothing, and where a page marks its article or main part, so do lines
+outside it. A block is the sum of a window of lines, without marks of lines with
+text. The main text begins where the block sums first surge over the threshold
+and ends where they dive to nothing after the last surge; what stands between
+is kept whole, but for furniture and, between two stretches, menus.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from impactspark.llm.common import ship, whole_text
 WINDOW = 3  # lines in a block
 SURGE = 80  # characters in a block at which main text may begin, without marks
 LINKED = 0.5  # share of linked characters from which a line is a menu's
-SMALL_PART = 0.2  # of the largest stretch: what a further stretch must have
 
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,6 +213,9 @@ def main_text(page: str) -> str:
     """The page's main text; empty if it has none."""
     all_lines = lines(page)
     marked = any(x.main and x.text and not x.furniture for x in all_lines)
+    if not marked:
+        # edges of containers leave empty lines, which part no text here
+        all_lines = [x for x in all_lines if x.text]
     weights = []
     for x in all_lines:
         size = len(x.text)
@@ -229,10 +231,10 @@ def main_text(page: str) -> str:
         found = [found[int(np.argmax(sizes))]]
     if not found:
         return ""
-    sizes = [int(weights[a:b].sum()) for a, b in found]
-    keep = [s for s, n in zip(found, sizes, strict=True) if marked or n >= SMALL_PART * max(sizes)]
-    texts = [all_lines[i].text for a, b in keep for i in range(a, b) if all_lines[i].text and not all_lines[i].furniture and (all_lines[i].main or not marked)]
-    return " ".join(texts)
+    keep = {i for a, b in found for i in range(a, b) if not all_lines[i].furniture and (all_lines[i].main or not marked)}
+    if not marked:  # between the first surge and the last dive all that weighs
+        keep.update(i for i in range(found[0][0], found[-1][1]) if weights[i])
+    return " ".join(all_lines[i].text for i in sorted(keep) if all_lines[i].text)
 
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:

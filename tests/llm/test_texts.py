@@ -46,6 +46,16 @@ def test_main_text():
     assert html.main_text("<!-- c --><p>a</p><![CDATA[x]]><p hidden>b</p>") == "a"
 
 
+def test_short_sections_without_marks_stay():
+    story = ARTICLE.replace("&amp;", "&")
+    advert = "<aside><p>a</p><p>b</p><p>c</p><p>d</p></aside><ul><li><a href=1>menu</a></li><li><a href=2>of</a></li><li><a href=3>links</a></li></ul>"
+    for open_, close in (("<div>", "</p></div>"), ("<section>", "</p></section>")):
+        parts = [f"{open_}<p>{t}{close}" for t in ("Heading.", ARTICLE * 40, "Short.", ARTICLE, "End.")]
+        want = f"Heading. {story * 40} Short. {story} End."
+        assert html.main_text(f"<body><div>{''.join(parts)}</div></body>") == want
+        assert html.main_text(f"<body><div>{advert.join(parts[1:4])}</div></body>") == f"{story * 40} Short. {story}"
+
+
 def test_self_closed_icons():
     story = f"<article><p>{ARTICLE}</p><svg viewBox='0 0 1 1'><text>no</text></svg><p>End.</p></article>"
     want = ARTICLE.replace("&amp;", "&") + " End."
