@@ -2,11 +2,12 @@
 
 Markup is stripped into lines: every edge of a block element ends a line. A
 line weighs as many characters as it has; lines of page furniture and of links
-weigh nothing, and where a page marks its article or main part, so do lines
-outside it. A block is the sum of a window of lines, without marks of lines with
-text. The main text begins where the block sums first surge over the threshold
-and ends where they dive to nothing after the last surge; what stands between
-is kept whole, but for furniture and, between two stretches, menus.
+weigh nothing. A block is the sum of a window of lines with text. The main text
+begins where the block sums first surge over the threshold and ends where they
+dive to nothing after the last surge; what stands between is kept whole, but for
+furniture and, between two stretches, menus. Where the parts that a page marks as
+article or main hold at least as much text as was found outside them, the main
+text is these parts instead, cut by their tags.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from impactspark.llm.common import ship, whole_text
 
 WINDOW = 3  # lines in a block
-SURGE = 80  # characters in a block at which main text may begin, without marks
+SURGE = 80  # characters in a block at which main text may begin
 LINKED = 0.5  # share of linked characters from which a line is a menu's
 
 # fixed values: elements of HTML
@@ -211,30 +212,30 @@ def stretches(weights: np.ndarray, surge: int, window: int = WINDOW) -> list[tup
 
 def main_text(page: str) -> str:
     """The page's main text; empty if it has none."""
-    all_lines = lines(page)
-    marked = any(x.main and x.text and not x.furniture for x in all_lines)
-    if not marked:
-        # edges of containers leave empty lines, which part no text here
-        all_lines = [x for x in all_lines if x.text]
-    weights = []
-    for x in all_lines:
-        size = len(x.text)
-        away = x.furniture or marked and not x.main
-        # a line of links is a menu's; inside a marked article it is its own
-        menu = not marked and size and x.linked >= LINKED * size
-        weights.append(0 if away or menu else size)
-    weights = np.array(weights, np.int64)
-    found = stretches(weights, 1 if marked else SURGE)
-    if not found and weights.any():
-        found = stretches(weights, 1)  # a short page: its largest stretch
-        sizes = [weights[a:b].sum() for a, b in found]
-        found = [found[int(np.argmax(sizes))]]
-    if not found:
-        return ""
-    keep = {i for a, b in found for i in range(a, b) if not all_lines[i].furniture and (all_lines[i].main or not marked)}
-    if not marked:  # between the first surge and the last dive all that weighs
-        keep.update(i for i in range(found[0][0], found[-1][1]) if weights[i])
-    return " ".join(all_lines[i].text for i in sorted(keep) if all_lines[i].text)
+    # edges of containers leave empty lines, which part no text here
+    found = [x for x in lines(page) if x.text]
+    inside = [x for x in found if x.main and not x.furniture]
+    searched = _searched(found)
+    # a mark is trusted where it holds most of the text: else it may be a teaser's
+    if sum(len(x.text) for x in inside) >= sum(len(x.text) for x in searched if not x.main):
+        searched = inside
+    return " ".join(x.text for x in searched)
+
+
+def _searched(found: list[Line]) -> list[Line]:
+    """The lines between the first surge and the last dive, by weight alone."""
+    # a line of links is a menu's
+    weights = np.array([0 if x.furniture or x.linked >= LINKED * len(x.text) else len(x.text) for x in found], np.int64)
+    runs = stretches(weights, SURGE)
+    if not runs:
+        if not weights.any():
+            return []
+        runs = stretches(weights, 1)  # a short page: its largest stretch
+        runs = [max(runs, key=lambda r: weights[r[0] : r[1]].sum())]
+    keep = {i for a, b in runs for i in range(a, b) if not found[i].furniture}
+    # between two stretches all that weighs
+    keep.update(i for i in range(runs[0][0], runs[-1][1]) if weights[i])
+    return [found[i] for i in sorted(keep)]
 
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:

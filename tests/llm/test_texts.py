@@ -56,6 +56,15 @@ def test_short_sections_without_marks_stay():
         assert html.main_text(f"<body><div>{advert.join(parts[1:4])}</div></body>") == f"{story * 40} Short. {story}"
 
 
+def test_a_marked_teaser_is_not_the_story():
+    story = ARTICLE.replace("&amp;", "&")
+    page = f"<body><div class=story><h1>Title</h1><p>{ARTICLE}</p><p>{ARTICLE}</p></div>%s<div class=footer>foot</div></body>"
+    for card in ("<article><a href=1>Another story</a></article>", f"<nav>x</nav><article><p>{ARTICLE}</p></article>"):
+        assert html.main_text(page % card).startswith(f"Title {story} {story}")
+    page = f"<body><div><p>{ARTICLE}</p></div><article><p>{ARTICLE}</p><p>{ARTICLE}</p></article></body>"
+    assert html.main_text(page) == f"{story} {story}"  # most of it is marked
+
+
 def test_self_closed_icons():
     story = f"<article><p>{ARTICLE}</p><svg viewBox='0 0 1 1'><text>no</text></svg><p>End.</p></article>"
     want = ARTICLE.replace("&amp;", "&") + " End."
