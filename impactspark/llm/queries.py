@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, html, lsh, mixing, nbsvm, quality, secrets, simhash, warc
+from impactspark.llm import bpe, dac, html, lsh, merkle, mixing, nbsvm, quality, secrets, simhash, warc
 from impactspark.llm.common import documents
 from impactspark.sources.scan import read_table
 
@@ -101,3 +101,11 @@ def op9_nb_svm(spark: SparkSession, folder: str) -> DataFrame:
 def op10_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "embeddings")
     return lsh.nearest(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(documents(spark, folder))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.sql()
