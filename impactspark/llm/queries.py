@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from impactspark.llm import bpe, dac, html, lsh, merkle, mixing, nbsvm, quality, secrets, simhash, warc
+from impactspark.llm import audit, bpe, dac, html, lsh, merkle, mixing, nbsvm, quality, secrets, simhash, toxicity, warc
 from impactspark.llm.common import documents
 from impactspark.sources.scan import read_table
 
@@ -103,9 +103,23 @@ def op10_multiprobe_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return lsh.nearest(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(spark, f"{folder}/documents.parquet", read_table(spark, folder, "labels"))
+
+
+ORACLES["op11_filter_audit"] = audit.sql()
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(documents(spark, folder))
 
 
 ORACLES["op12_merkle_manifest"] = merkle.sql()
+
+
+@query
+def op13_levenshtein_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.scored(docs, toxicity.train(docs, read_table(spark, folder, "labels")))
