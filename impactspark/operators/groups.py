@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from impactspark import fixed
 from impactspark.functions.columns import has_any, numeric_columns
+from impactspark.functions.exact import exact_mean, exact_sum, merged_sum, partial_sums
 from impactspark.functions.quantiles import few_groups, group_quantiles, with_rank
 
 log = logging.getLogger(__name__)
@@ -100,17 +101,16 @@ def state_lod(df: DataFrame) -> DataFrame:
         df,
         ["state"],
         {
-            "state_students_affected": F.sum("students_affected"),
-            "state_avg_tuition_change": F.avg("tuition_change_dollars"),
+            "state_students_affected": exact_sum("students_affected"),
+            "state_avg_tuition_change": exact_mean("tuition_change_dollars"),
         },
     )
 
 
 def rank_groups(df: DataFrame, by: str, measure: str) -> DataFrame:
     """Groups ranked by a summed measure, equal sums sharing a rank."""
-    totals = df.groupBy(by).agg(F.sum(measure).alias("total"))
-    # equal on paper must be equal here, whatever the order of summing
-    return with_rank(totals, F.round("total", 6), "impact_rank")
+    totals = df.groupBy(by).agg(exact_sum(measure).alias("total"))
+    return with_rank(totals, F.col("total"), "impact_rank")
 
 
 def compare_scenarios(df: DataFrame, scenario_col: str = "scenario") -> DataFrame:
@@ -119,11 +119,11 @@ def compare_scenarios(df: DataFrame, scenario_col: str = "scenario") -> DataFram
     has = {c: c in names for c in ("tuition_change_dollars", "students_affected", "equity_risk_class")}
     return df.groupBy(F.col(scenario_col).alias("scenario")).agg(
         F.count(F.lit(1)).alias("colleges_count"),
-        (F.avg("tuition_change_dollars") if has["tuition_change_dollars"] else F.max(zero)).alias(
+        (exact_mean("tuition_change_dollars") if has["tuition_change_dollars"] else F.max(zero)).alias(
             "avg_tuition_change"
         ),
         (
-            F.coalesce(F.sum("students_affected"), zero) if has["students_affected"] else F.max(zero)
+            F.coalesce(exact_sum("students_affected"), zero) if has["students_affected"] else F.max(zero)
         ).alias("total_students_affected"),
         F.count_if(
             F.col("equity_risk_class") == "High" if has["equity_risk_class"] else F.lit(False)
@@ -145,7 +145,7 @@ def equity_gap(df: DataFrame) -> DataFrame:
         if column not in df.columns:
             continue
         over, under = F.col(column) > cut, F.col(column) <= cut
-        serving, other = F.avg(F.when(over, dollars)), F.avg(F.when(under, dollars))
+        serving, other = exact_mean(F.when(over, dollars)), exact_mean(F.when(under, dollars))
         rows.append(
             F.struct(
                 F.lit(name).alias("dimension"),
@@ -165,15 +165,15 @@ def kpis(df: DataFrame) -> DataFrame:
     """The headline numbers. States are counted over one row per state."""
     per_state = df.groupBy("state").agg(
         F.count("institution_id").alias("n"),
-        F.sum("students_affected").alias("students"),
-        F.sum("tuition_change_dollars").alias("dollars"),
+        *partial_sums("students_affected", "students"),
+        *partial_sums("tuition_change_dollars", "dollars"),
         F.count("tuition_change_dollars").alias("priced"),
         *[F.count_if(F.col("equity_risk_class") == c).alias(c) for c in fixed.CLASS_NAMES],
     )
     return per_state.agg(
         F.sum("n").alias("total_colleges"),
-        F.coalesce(F.sum("students"), F.lit(0.0)).alias("total_students"),
-        F.try_divide(F.sum("dollars"), F.sum("priced")).alias("avg_tuition_change"),
+        F.coalesce(merged_sum("students"), F.lit(0.0)).alias("total_students"),
+        F.try_divide(merged_sum("dollars"), F.sum("priced")).alias("avg_tuition_change"),
         F.count("state").alias("states"),
         *[F.sum(c).alias(f"{c.lower()}_risk_colleges") for c in fixed.CLASS_NAMES],
     )
@@ -188,7 +188,7 @@ def band_impact(df: DataFrame, share: str = "pct_low_income") -> DataFrame:
         df.filter(F.col(share).isNotNull())
         .groupBy(band.alias("band"))
         .agg(
-            F.avg("tuition_change_dollars").alias("avg_tuition_change"),
+            exact_mean("tuition_change_dollars").alias("avg_tuition_change"),
             F.count(F.lit(1)).alias("college_count"),
         )
     )

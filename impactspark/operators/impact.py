@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from impactspark import fixed
 from impactspark.functions.columns import first_present
+from impactspark.functions.exact import exact_mean, exact_sum
 
 POLICY_BROADCAST_ROWS = 10_000
 POLICY_SALTS = 32  # fewest places a longer policy list is spread over
@@ -150,11 +151,11 @@ def equity_table(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .groupBy(*by, "equity_risk_class")
         .agg(
             F.count("institution_id").alias("college_count"),
-            F.avg("tuition_change_dollars").alias("avg_tuition_change"),
-            F.coalesce(F.sum("tuition_change_dollars"), F.lit(0.0)).alias("total_tuition_impact"),
-            F.coalesce(F.sum("students_affected"), F.lit(0.0)).alias("total_students_affected"),
-            F.avg("enrollment_change_pct").alias("avg_enrollment_change"),
-            F.avg("grad_rate_change").alias("avg_grad_rate_change"),
+            exact_mean("tuition_change_dollars").alias("avg_tuition_change"),
+            F.coalesce(exact_sum("tuition_change_dollars"), F.lit(0.0)).alias("total_tuition_impact"),
+            F.coalesce(exact_sum("students_affected"), F.lit(0.0)).alias("total_students_affected"),
+            exact_mean("enrollment_change_pct").alias("avg_enrollment_change"),
+            exact_mean("grad_rate_change").alias("avg_grad_rate_change"),
         )
     )
 
@@ -190,9 +191,9 @@ def impact_summary(df: DataFrame, by: Sequence[str] = (), k: int = 10) -> DataFr
     names = df.columns
 
     def mean(c: str) -> Column:
-        return F.coalesce(F.avg(c), F.lit(0.0)) if c in names else F.lit(0.0)
+        return F.coalesce(exact_mean(c), F.lit(0.0)) if c in names else F.lit(0.0)
 
-    total = F.sum("students_affected") if "students_affected" in names else F.lit(0.0)
+    total = exact_sum("students_affected") if "students_affected" in names else F.lit(0.0)
     aggs = {
         "total_colleges_affected": F.count(F.lit(1)),
         "total_students_impacted": F.coalesce(total, F.lit(0.0)).cast("long"),

@@ -21,6 +21,7 @@ from impactspark.functions.columns import (
     total,
     with_totals,
 )
+from impactspark.functions.exact import exact_mean, exact_sum
 
 
 def risk_class(score: Column) -> Column:
@@ -161,8 +162,8 @@ def state_vulnerability(df: DataFrame) -> DataFrame:
         df.filter(F.col("state").isNotNull())
         .groupBy("state")
         .agg(
-            F.avg("tuition_change_dollars").alias("avg_tuition_impact"),
-            F.coalesce(F.sum("students_affected"), F.lit(0.0)).alias("total_students_affected"),
+            exact_mean("tuition_change_dollars").alias("avg_tuition_impact"),
+            F.coalesce(exact_sum("students_affected"), F.lit(0.0)).alias("total_students_affected"),
             F.count("institution_id").alias("college_count"),
         )
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from impactspark.functions.exact import exact_mean_sql, exact_sum_sql
 from impactspark.operators.impact import derived_metrics, policy_columns
 from impactspark.operators.outcomes import outcomes
 from impactspark.sources import tables
@@ -28,7 +29,8 @@ def query(
     name: str, sql: str | None = None, rounded: Sequence[str] = (), digits: int = 6
 ) -> Callable[[Run], Run]:
     """Register a query. Doubles named in `rounded` are rounded alike on both
-    sides, since sums of doubles depend on the order of adding. A nudge far
+    sides, where sums of doubles depend on the order of adding (not those of
+    `functions.exact`). A nudge far
     below the last digit keeps values that end in an exact 5 on one side."""
     columns = list(rounded)
     nudge = 10.0 ** -(digits + 2)
@@ -127,11 +129,11 @@ def grid_sql() -> str:
     )
 
 
-EQUITY_SELECT = """
-  count(institution_id) AS college_count, avg(tuition_change_dollars) AS avg_tuition_change,
-  coalesce(sum(tuition_change_dollars), 0) AS total_tuition_impact,
-  coalesce(sum(students_affected), 0) AS total_students_affected,
-  avg(enrollment_change_pct) AS avg_enrollment_change, avg(grad_rate_change) AS avg_grad_rate_change
+EQUITY_SELECT = f"""
+  count(institution_id) AS college_count, {exact_mean_sql("tuition_change_dollars")} AS avg_tuition_change,
+  coalesce({exact_sum_sql("tuition_change_dollars")}, 0) AS total_tuition_impact,
+  coalesce({exact_sum_sql("students_affected")}, 0) AS total_students_affected,
+  {exact_mean_sql("enrollment_change_pct")} AS avg_enrollment_change, {exact_mean_sql("grad_rate_change")} AS avg_grad_rate_change
 """
 EQUITY_DOUBLES = (
     "avg_tuition_change", "total_tuition_impact", "total_students_affected",

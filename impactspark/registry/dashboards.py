@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from impactspark.functions.exact import exact_mean_sql, exact_sum_sql
 from impactspark.operators import dashboard, groups, impact
 from impactspark.registry.base import (
     CUT,
@@ -24,12 +25,11 @@ def mixed(spark, folder):
 
 @query(
     "kpis",
-    f"""SELECT count(institution_id) AS total_colleges, coalesce(sum(students_affected), 0) AS total_students,
-      avg(tuition_change_dollars) AS avg_tuition_change, count(DISTINCT state) AS states,
+    f"""SELECT count(institution_id) AS total_colleges, coalesce({exact_sum_sql("students_affected")}, 0) AS total_students,
+      {exact_mean_sql("tuition_change_dollars")} AS avg_tuition_change, count(DISTINCT state) AS states,
       count(*) FILTER (equity_risk_class = 'Low') AS low_risk_colleges,
       count(*) FILTER (equity_risk_class = 'Medium') AS medium_risk_colleges,
       count(*) FILTER (equity_risk_class = 'High') AS high_risk_colleges FROM ({IMPACT})""",
-    ("total_students", "avg_tuition_change"),
 )
 def kpis(spark, folder):
     return groups.kpis(mixed(spark, folder))
@@ -37,25 +37,24 @@ def kpis(spark, folder):
 
 def _band_sql(share):
     return f"""SELECT CASE WHEN {share} < 25 THEN '0-25%' WHEN {share} < 50 THEN '25-50%'
-      WHEN {share} < 75 THEN '50-75%' ELSE '75-100%' END AS band, avg(tuition_change_dollars) AS avg_tuition_change,
+      WHEN {share} < 75 THEN '50-75%' ELSE '75-100%' END AS band, {exact_mean_sql("tuition_change_dollars")} AS avg_tuition_change,
       count(*) AS college_count FROM ({IMPACT}) WHERE {share} IS NOT NULL GROUP BY 1"""
 
 
-@query("band_impact_income", _band_sql("pct_low_income"), ("avg_tuition_change",))
+@query("band_impact_income", _band_sql("pct_low_income"))
 def band_impact_income(spark, folder):
     return groups.band_impact(mixed(spark, folder), "pct_low_income")
 
 
-@query("band_impact_minority", _band_sql("pct_minority"), ("avg_tuition_change",))
+@query("band_impact_minority", _band_sql("pct_minority"))
 def band_impact_minority(spark, folder):
     return groups.band_impact(mixed(spark, folder), "pct_minority")
 
 
 @query(
     "lod_state",
-    f"""SELECT institution_id, state, sum(students_affected) OVER (PARTITION BY state) AS state_students_affected,
-      avg(tuition_change_dollars) OVER (PARTITION BY state) AS state_avg_tuition_change FROM ({IMPACT})""",
-    ("state_students_affected", "state_avg_tuition_change"),
+    f"""SELECT institution_id, state, {exact_sum_sql("students_affected", over="PARTITION BY state")} AS state_students_affected,
+      {exact_mean_sql("tuition_change_dollars", over="PARTITION BY state")} AS state_avg_tuition_change FROM ({IMPACT})""",
 )
 def lod_state(spark, folder):
     rows = groups.state_lod(mixed(spark, folder))
@@ -64,9 +63,8 @@ def lod_state(spark, folder):
 
 @query(
     "rank_state",
-    f"""SELECT state, total, rank() OVER (ORDER BY round(total, 6) DESC NULLS LAST) AS impact_rank
-      FROM (SELECT state, sum(tuition_change_dollars) AS total FROM ({IMPACT}) GROUP BY state)""",
-    ("total",),
+    f"""SELECT state, total, rank() OVER (ORDER BY total DESC NULLS LAST) AS impact_rank
+      FROM (SELECT state, {exact_sum_sql("tuition_change_dollars")} AS total FROM ({IMPACT}) GROUP BY state)""",
 )
 def rank_state(spark, folder):
     return groups.rank_groups(mixed(spark, folder), "state", "tuition_change_dollars")
@@ -87,12 +85,12 @@ def _joined(spark, folder, how):
     )
 
 
-@query("join_equity", _joined_sql("LEFT"), ("avg_tuition_change",))
+@query("join_equity", _joined_sql("LEFT"))
 def join_equity(spark, folder):
     return _joined(spark, folder, "left")
 
 
-@query("join_equity_inner", _joined_sql("INNER"), ("avg_tuition_change",))
+@query("join_equity_inner", _joined_sql("INNER"))
 def join_equity_inner(spark, folder):
     return _joined(spark, folder, "inner")
 

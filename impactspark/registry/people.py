@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from impactspark.functions.exact import exact_mean_sql, exact_sum_sql
 from impactspark.operators import groups, impact, outcomes, scores, stats
 from impactspark.plans import scenario
 from impactspark.registry.base import (
     CUT,
-    EQUITY_DOUBLES,
     EQUITY_SELECT,
     INSTITUTIONS,
     MIXED,
@@ -26,7 +26,6 @@ PUBLIC = "('Public Two-Year', 'Public Four-Year', 'Public', 'Community College',
     "equity_impact",
     f"SELECT equity_risk_class, {EQUITY_SELECT} FROM ({impact_sql(CUT)}) "
     f"WHERE institution_type IN {PUBLIC} GROUP BY 1",
-    EQUITY_DOUBLES,
 )
 def equity_impact(spark, folder):
     policies = tables.catalogue(spark).filter("scenario = '10pct_funding_cut'")
@@ -207,8 +206,8 @@ def _vulnerability_sql(policy):
     return f"""SELECT *, row_number() OVER (ORDER BY vulnerability_score DESC, state) AS rank
     FROM (SELECT *, CASE WHEN ma > 0 THEN avg_tuition_impact / ma * 50 + total_students_affected / ms * 50 ELSE 0 END
         AS vulnerability_score FROM (SELECT *, max(avg_tuition_impact) OVER () AS ma,
-          max(total_students_affected) OVER () AS ms FROM (SELECT state, avg(tuition_change_dollars) AS avg_tuition_impact,
-            coalesce(sum(students_affected), 0) AS total_students_affected, count(institution_id) AS college_count
+          max(total_students_affected) OVER () AS ms FROM (SELECT state, {exact_mean_sql("tuition_change_dollars")} AS avg_tuition_impact,
+            coalesce({exact_sum_sql("students_affected")}, 0) AS total_students_affected, count(institution_id) AS college_count
           FROM ({impact_sql(policy)}) GROUP BY state)))"""
 
 
@@ -236,9 +235,8 @@ def state_vulnerability_cut(spark, folder):
 
 def _gap_sql(name, column, source):
     over, under = f"FILTER ({column} > 50)", f"FILTER ({column} <= 50)"
-    return f"""SELECT '{name}' AS dimension, avg(tuition_change_dollars) {over} AS serving_avg_impact,
-      avg(tuition_change_dollars) {under} AS other_avg_impact,
-      avg(tuition_change_dollars) {over} - avg(tuition_change_dollars) {under} AS gap
+    serving, other = (exact_mean_sql("tuition_change_dollars", where=f"{column} {sign} 50") for sign in (">", "<="))
+    return f"""SELECT '{name}' AS dimension, {serving} AS serving_avg_impact, {other} AS other_avg_impact, {serving} - {other} AS gap
       FROM ({source}) HAVING count(*) {over} > 0 AND count(*) {under} > 0"""
 
 
@@ -247,7 +245,6 @@ def _gap_sql(name, column, source):
     _gap_sql("minority_gap", "pct_minority", impact_sql(CUT))
     + " UNION ALL "
     + _gap_sql("income_gap", "pct_low_income", impact_sql(CUT)),
-    ("serving_avg_impact", "other_avg_impact", "gap"),
 )
 def equity_gap(spark, folder):
     return groups.equity_gap(impact_view(spark, folder, CUT))
@@ -329,10 +326,9 @@ def scenario_grid(spark, folder):
 
 @query(
     "scenario_compare",
-    f"""SELECT scenario, count(*) AS colleges_count, avg(tuition_change_dollars) AS avg_tuition_change,
-      coalesce(sum(students_affected), 0) AS total_students_affected,
+    f"""SELECT scenario, count(*) AS colleges_count, {exact_mean_sql("tuition_change_dollars")} AS avg_tuition_change,
+      coalesce({exact_sum_sql("students_affected")}, 0) AS total_students_affected,
       count(*) FILTER (equity_risk_class = 'High') AS high_risk_colleges FROM ({grid_sql()}) GROUP BY scenario""",
-    ("avg_tuition_change", "total_students_affected"),
 )
 def scenario_compare(spark, folder):
     rows = scenario.scenario_impact(tables.institutions(spark, folder), tables.catalogue(spark))
@@ -344,9 +340,9 @@ def summary_sql(source: str, by: str = "") -> str:
     return f"""SELECT *, 'This bill affects ' || total_colleges_affected || ' colleges and '
       || format('{{:,}}', total_students_impacted) || ' students.' AS plain_language_summary FROM (
     SELECT {key} count(*) AS total_colleges_affected,
-      CAST(trunc(coalesce(sum(students_affected), 0)) AS BIGINT) AS total_students_impacted,
-      avg(tuition_change_pct) AS average_tuition_change_pct, avg(tuition_change_dollars) AS average_tuition_change_dollars,
-      avg(enrollment_change_pct) AS average_enrollment_change_pct, avg(grad_rate_change) AS average_grad_rate_change,
+      CAST(trunc(coalesce({exact_sum_sql("students_affected")}, 0)) AS BIGINT) AS total_students_impacted,
+      {exact_mean_sql("tuition_change_pct")} AS average_tuition_change_pct, {exact_mean_sql("tuition_change_dollars")} AS average_tuition_change_dollars,
+      {exact_mean_sql("enrollment_change_pct")} AS average_enrollment_change_pct, {exact_mean_sql("grad_rate_change")} AS average_grad_rate_change,
       count(*) FILTER (equity_risk_class = 'High') AS high_risk_colleges,
       count(*) FILTER (pct_minority > 50) AS minority_serving_institutions_affected,
       count(*) FILTER (pct_low_income > 50) AS low_income_serving_institutions_affected,
@@ -356,12 +352,6 @@ def summary_sql(source: str, by: str = "") -> str:
         FILTER (tuition_change_dollars IS NOT NULL))[1:10], ',') AS top_ids FROM ({source}) {group})"""
 
 
-SUMMARY_DOUBLES = (
-    "average_tuition_change_pct", "average_tuition_change_dollars",
-    "average_enrollment_change_pct", "average_grad_rate_change",
-)
-
-
 def flat_summary(df):
     """The class counts and the ids of the most affected as columns."""
     counts = {
@@ -372,7 +362,7 @@ def flat_summary(df):
     return df.withColumns(counts).drop("equity_risk_breakdown", "top_most_affected")
 
 
-@query("impact_summary", summary_sql(impact_sql(CUT)), SUMMARY_DOUBLES)
+@query("impact_summary", summary_sql(impact_sql(CUT)))
 def impact_summary(spark, folder):
     return flat_summary(impact.plain_sentence(impact.impact_summary(impact_view(spark, folder, CUT))))
 

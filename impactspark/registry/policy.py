@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from impactspark import fixed
 from impactspark.functions import text as tx
+from impactspark.functions.exact import exact_mean_sql
 from impactspark.operators import bills, impact
 from impactspark.plans.scenario import summarize_bills
 from impactspark.registry.base import INSTITUTIONS, SCENARIOS, outcome_sql, query
-from impactspark.registry.people import SUMMARY_DOUBLES, flat_summary, summary_sql
+from impactspark.registry.people import flat_summary, summary_sql
 from impactspark.sources import tables
 from impactspark.sources.folders import fresh_dir
 from impactspark.streaming import watch
@@ -206,7 +207,7 @@ BILL_IMPACT = outcome_sql(
 )
 
 
-@query("bill_impact", summary_sql(BILL_IMPACT, "bill_id"), SUMMARY_DOUBLES)
+@query("bill_impact", summary_sql(BILL_IMPACT, "bill_id"))
 def bill_impact(spark, folder):
     """Every bill of the corpus against every institution it names, by policies."""
     found = summarize_bills(tables.bills(spark, folder), tables.institutions(spark, folder).drop("min_wage"))
@@ -216,8 +217,7 @@ def bill_impact(spark, folder):
 @query(
     "stream_publish",
     f"""SELECT CAST(bill_id AS VARCHAR) AS bill_id, equity_risk_class, count(institution_id) AS college_count,
-      avg(tuition_change_dollars) AS avg_tuition_change FROM ({BILL_IMPACT}) GROUP BY ALL""",
-    ("avg_tuition_change",),
+      {exact_mean_sql("tuition_change_dollars")} AS avg_tuition_change FROM ({BILL_IMPACT}) GROUP BY bill_id, equity_risk_class""",
 )
 def stream_publish(spark, folder):
     """The documents arrive as several files in a watched folder, one batch
