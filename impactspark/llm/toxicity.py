@@ -28,7 +28,7 @@ from impactspark.llm.nbsvm import HELD_OUT, fold
 
 FIT_ROWS = 12_000  # labelled rows that terms and weights are learned from, at most
 LEAST_TOXIC = 5  # toxic documents a term occurs in
-LEAST_GAIN = 30.0  # log-likelihood ratio of a term
+LEAST_GAIN = 20.0  # log-likelihood ratio of a term
 MOST_TERMS = 500
 STEM = (4, 12)  # letters of a stem
 THRESHOLD = 0.5

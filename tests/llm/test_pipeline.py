@@ -36,5 +36,5 @@ def test_awkward_rows(spark, awkward, no_docs):
 
 
 def test_named_queries():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
