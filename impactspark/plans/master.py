@@ -14,6 +14,7 @@ from impactspark.operators.merging import outer_merge
 from impactspark.operators.scores import enhance
 from impactspark.operators.stats import describe
 from impactspark.sources.folders import cut_lineage
+from impactspark.sources.sinks import write_csv
 
 
 @dataclass
@@ -30,7 +31,8 @@ def build_master(tables: Mapping[str, DataFrame], out: str | None = None) -> Mas
 
     The merged and the cleaned table are stored (under `out`, else as
     checkpoints), because the steps after them read them several times.
-    Quality is measured after cleaning and before scoring.
+    Quality is measured after cleaning and before scoring. Rows without an id
+    are kept, each as a row of its own: met all with all, they would multiply.
     """
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,10 +41,10 @@ def build_master(tables: Mapping[str, DataFrame], out: str | None = None) -> Mas
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return df.sparkSession.read.parquet(f"{out}/{name}")
 
-    cleaned = stored(repair(stored(prepare(outer_merge(tables)), "merged")), "cleaned")
+    cleaned = stored(repair(stored(prepare(outer_merge(tables, null_keys="apart")), "merged")), "cleaned")
     scored = enhance(cleaned)
     if out:
-        scored.write.mode("overwrite").option("header", True).csv(f"{out}/master.csv")
+        write_csv(scored, f"{out}/master.csv")
     return Master(scored, cleaned)
 
 

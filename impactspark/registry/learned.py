@@ -10,6 +10,7 @@ from impactspark.operators import features, impact, learning, metrics, outcomes
 from impactspark.plans.scenario import model_predictor
 from impactspark.registry.base import INSTITUTIONS, MIXED, impact_sql, impact_view, query
 from impactspark.sources import tables
+from impactspark.sources.scan import read_table
 
 IMPACT = impact_sql(MIXED)
 PRODUCTS = tuple(f"{a}_x_{b}" for a, b in fixed.INTERACTIONS)
@@ -44,6 +45,20 @@ def label_encode(spark, folder):
     return encoded.select("institution_id", "state_encoded", "institution_type_encoded")
 
 
+@query(
+    "dictionary_codes",
+    """SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY k) - 1e0 AS name_encoded, dense_rank() OVER (ORDER BY l_returnflag) - 1e0 AS l_returnflag_encoded
+      FROM (SELECT *, CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE CAST(l_orderkey AS VARCHAR) END AS k FROM lineitem)""",
+)
+def dictionary_codes(spark, folder):
+    """Codes of a column of nearly as many labels as rows, and of one with three."""
+    rows = read_table(spark, folder, "lineitem")
+    key = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.col("l_orderkey").cast("string"))
+    rows = rows.withColumn("name", F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"), key))
+    encoded, _ = features.label_encode(rows, ["name", "l_returnflag"])
+    return encoded.select("l_orderkey", "l_linenumber", "name_encoded", "l_returnflag_encoded")
+
+
 SCALED = ("net_price", "affordability_gap", "min_wage", "funding_change_pct")
 
 

@@ -19,7 +19,7 @@ from impactspark.registry.base import (
     impact_view,
     query,
 )
-from impactspark.sources import scan, sinks, tables
+from impactspark.sources import scan, sinks, split_csv, tables
 from impactspark.sources.folders import fresh_dir
 
 
@@ -50,6 +50,13 @@ NAMES = """CASE doc_id % 5 WHEN 0 THEN ' lead, ' || text || ' ' WHEN 1 THEN 'say
 
 @query("csv_quotes", f"SELECT doc_id AS institution_id, {NAMES} AS name, n_chars AS enrollment FROM documents")
 def csv_quotes(spark, folder):
+    rows = _quoted(spark, folder)
+    base = fresh_dir(spark, "quotes")
+    sinks.write_csv(rows.repartition(7), f"{base}/names.csv")
+    return scan.read_sources(spark, {"names": "names.csv"}, schemas={"names": rows.schema}, folder=base)["names"]
+
+
+def _quoted(spark, folder):
     """Names with quotes, commas, line breaks, outer spaces, empty and NULL."""
     text, kind = F.col("text"), F.col("doc_id") % 5
     name = (
@@ -58,10 +65,18 @@ def csv_quotes(spark, folder):
         .when(kind == 2, "")
         .when(kind == 4, F.concat(text, F.lit('\n"')))
     )
-    rows = _table(spark, folder, "documents").select(F.col("doc_id").alias("unitid"), name.alias("name"), F.col("n_chars").alias("enrollment"))
-    base = fresh_dir(spark, "quotes")
-    sinks.write_csv(rows.repartition(7), f"{base}/names.csv")
-    return scan.read_sources(spark, {"names": "names.csv"}, schemas={"names": rows.schema}, folder=base)["names"]
+    return _table(spark, folder, "documents").select(F.col("doc_id").alias("unitid"), name.alias("name"), F.col("n_chars").alias("enrollment"))
+
+
+@query(
+    "csv_split",
+    f"SELECT doc_id AS institution_id, {NAMES} AS name, n_chars AS enrollment FROM documents",
+)
+def csv_split(spark, folder):
+    """Texts with quotes and line breaks from one file, read by all its splits."""
+    rows = _quoted(spark, folder)
+    path = sinks.write_csv(rows.coalesce(1), f"{fresh_dir(spark, 'quotes')}/names.csv")
+    return scan.with_key(split_csv.read_csv_split(spark, path, rows.schema))
 
 
 @query(
@@ -344,6 +359,25 @@ SELECT institution_id, net_price, affordability_gap, state, enrollment, grad_rat
     ("net_price", "affordability_gap", "enrollment", "grad_rate", "min_wage", "affordability_stress_score", "resilience_score"),
 )
 def master(spark, folder):
+    return _master(spark, folder, fresh_dir(spark, "master")).drop(*NOT_SHOWN)
+
+
+@query(
+    "master_file",
+    MASTER_SQL,
+    ("net_price", "affordability_gap", "enrollment", "grad_rate", "min_wage", "affordability_stress_score", "resilience_score"),
+)
+def master_file(spark, folder):
+    """The master's CSV file, read back by all its splits."""
+    out = fresh_dir(spark, "master")
+    schema = _master(spark, folder, out).schema
+    return split_csv.read_csv_split(spark, f"{out}/master.csv", schema).drop(*NOT_SHOWN)
+
+
+NOT_SHOWN = ("high_low_income", "high_minority", "low_grad_rate", "high_stress", "equity_risk_class")
+
+
+def _master(spark, folder, out):
     customer, part = _table(spark, folder, "customer"), _table(spark, folder, "part")
     afford = customer.select(
         F.col("c_custkey").alias("Institution ID"),
@@ -363,5 +397,4 @@ def master(spark, folder):
         "affordability": scan.with_key(afford.unionByName(afford), "Institution ID"),
         "results": scan.with_key(results),
     }
-    table = build_master(named, fresh_dir(spark, "master")).table
-    return table.drop("high_low_income", "high_minority", "low_grad_rate", "high_stress", "equity_risk_class")
+    return build_master(named, out).table

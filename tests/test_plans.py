@@ -3,7 +3,8 @@ import pytest
 from impactspark.operators import impact
 from impactspark.plans import master, scenario
 from impactspark.sources import sinks, tables
-from impactspark.sources.scan import csv_reader
+from impactspark.sources.scan import csv_reader, read_csv
+from impactspark.sources.split_csv import read_csv_split
 from impactspark.streaming import watch
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,6 +44,17 @@ def test_profile_has_every_part(people):
     assert parts["completeness"].first().quality_rating in {"Excellent", "Good"}
 
 
+def test_master_file_reads_back(spark, tmp_path):
+    names = [' said "hi", \\ ok ', "two\nlines", "plain", ""]
+    a = spark.createDataFrame(list(enumerate(names)) + [(None, "a"), (None, "b")], "institution_id long, name string")
+    b = spark.createDataFrame([(i, 1.5 * i) for i in range(4)] + [(None, 2.0)] * 3, "institution_id long, grad_rate double")
+    table = master.build_master({"a": a, "b": b}, str(tmp_path)).table
+    for back in (read_csv(spark, f"{tmp_path}/master.csv", table.schema), read_csv_split(spark, f"{tmp_path}/master.csv", table.schema)):
+        assert sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
+    assert {names[0], names[1]} <= {r.name for r in table.collect()}
+    assert table.filter("institution_id IS NULL").count() == 3  # two names apart, equal rows once
+
+
 def test_master_without_folder(spark):
     a = spark.createDataFrame([(1, 5.0), (2, None), (2, None)], "institution_id long, `Net Price` double")
     b = spark.createDataFrame([(2, 0.4), (3, 0.9)], "institution_id long, grad_rate double")
