@@ -4,7 +4,8 @@ All files are processed as micro-batches of one available-now stream. A
 document's failures are a mask of five bits. Four depend on its text alone; the
 fifth, being a copy of a document with a smaller id, is known only when all
 files are there. So each text has a state: the smallest id so far, and what the
-rows of that id have added to the counters. When a smaller id comes, those rows
+rows of that id have added to the counters (the states of some hundred texts, by
+digest, lie under one key, since a call of Python for each text is dear). When a smaller id comes, those rows
 are taken back from the counter of their mask and put under the mask with the
 fifth bit; the sums over all batches are what one look at the whole table gives.
 """
@@ -36,7 +37,12 @@ SIGNS = b"#$%&*|"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 BATCHES = 4  # micro-batches that the files are dealt over
 HELD_TEXTS = 200_000  # texts a task keeps before it passes them on
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET_TEXTS = 256  # texts whose states lie together, about
+# state on local disk, and what changed in the shared folder after each batch
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 SEEN = "h string, id long, part string, mask int, good int, toxic int, n long"
 DELTA = "part string, mask int, good int, toxic int, n long"
@@ -107,39 +113,45 @@ def firsts_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def retracted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters that a batch's rows of one text bring."""
-    (h,) = key
+    """Changes of the counters that a batch's rows bring to the texts of a bucket."""
     found = Firsts()
-    before = None
     if state.exists:
-        least, mask, held = state.get
-        before = (least, mask, Counter({(part, good, toxic): n for part, good, toxic, n in json.loads(held)}))
-        found.held[h] = (least, mask, Counter(before[2]))
+        for h, (least, mask, rows) in json.loads(state.get[0]).items():
+            found.held[h] = (least, mask, Counter({(part, good, toxic): n for part, good, toxic, n in rows}))
+    before: dict[str, tuple | None] = {}
     for frame in frames:
-        ids = frame["id"]
-        for i, part, mask, good, toxic, n in zip(ids, frame["part"], frame["mask"], frame["good"], frame["toxic"], frame["n"], strict=True):
-            found.add(h, None if pd.isna(i) else int(i), int(mask), Counter({(part, int(good), int(toxic)): int(n)}))
-    if h in found.held:
-        least, mask, held = found.held[h]
-        if before is not None:
-            found.count(before[1], before[2], -1)
-        found.count(mask, held)
-        if before is None or before[0] != least or before[2] != held:
-            state.update((least, mask, json.dumps([[*k, n] for k, n in held.items()])))
+        for h, i, part, mask, good, toxic, n in zip(*[frame[c] for c in ("h", "id", "part", "mask", "good", "toxic", "n")], strict=True):
+            rows = Counter({(part, int(good), int(toxic)): int(n)})
+            if pd.isna(i):
+                found.count(int(mask), rows)
+                continue
+            if h not in before:
+                old = found.held.get(h)
+                before[h] = old and (old[1], Counter(old[2]))
+            found.add(h, int(i), int(mask), rows)
+    for h, old in before.items():
+        if old is not None:
+            found.count(*old, -1)
+        found.count(*found.held[h][1:])
+    if before:
+        kept = {h: (i, mask, [[*k, n] for k, n in rows.items()]) for h, (i, mask, rows) in found.held.items()}
+        state.update((json.dumps(kept),))
     rows = [(*k, n) for k, n in found.counts.items() if n]
-    yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
+    if rows:
+        yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "n"])
 
 
 @contextmanager
 def state_on_disk(spark: SparkSession):
     """State beyond memory spills to disk while a stream starts in this block."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def marks(labels: DataFrame) -> DataFrame:
@@ -189,10 +201,10 @@ def counted(spark: SparkSession, path: str, labels: DataFrame, batches: int = BA
     # a stream wants a folder or a pattern, and a table may be one file: a pattern that only `path` matches
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
     stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", per_batch).parquet(pattern)
-    firsts = masked(stream, known).mapInPandas(firsts_of_task, SEEN)
-    changes = firsts.groupBy("h").applyInPandasWithState(
-        retracted, DELTA, "least long, mask int, held string", "update", GroupStateTimeout.NoTimeout
-    )
+    # a row has one text at most: from the files' footers
+    buckets = max(1, files.count() // BUCKET_TEXTS)
+    firsts = masked(stream, known).mapInPandas(firsts_of_task, SEEN).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    changes = firsts.groupBy("bucket").applyInPandasWithState(retracted, DELTA, "held string", "update", GroupStateTimeout.NoTimeout)
     with state_on_disk(spark):
         run = changes.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/stream").foreachBatch(keep).start()
         run.awaitTermination()
