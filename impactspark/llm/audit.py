@@ -38,10 +38,11 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 BATCHES = 4  # micro-batches that the files are dealt over
 HELD_TEXTS = 200_000  # texts a task keeps before it passes them on
 BUCKET_TEXTS = 256  # texts whose states lie together, about
-# state on local disk, and what changed in the shared folder after each batch
+# state on local disk, without space held in advance, and what changed in the shared folder after each batch
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 SEEN = "h string, id long, part string, mask int, good int, toxic int, n long"
