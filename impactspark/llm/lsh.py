@@ -8,6 +8,11 @@ neighbours are expected tell how likely a neighbour is in each perturbed
 bucket, and it stops when the buckets visited hold one with the wanted
 probability. What the tables find is merged and ranked by the exact cosine.
 
+A query is done when it has found k others within the distance that was planned
+for. One that has not, since it lies apart from the rest or the rest is closer
+together than it is to them, goes through wider cells, if such queries are very
+many, and in the end against all rows in blocks.
+
 Equal vectors are one entry with their smallest ids; a bucket with very many
 entries or visitors is dealt over several groups, each entry meeting each
 visitor once.
@@ -16,7 +21,7 @@ visitor once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,8 @@ FAR_NEIGHBOUR = 0.9  # quantile of the sample's k-th distances that is planned f
 REACH = 4  # cells to each side that a probe may lie from the query's
 LEAST_LIKELY = 1e-6  # buckets less likely than this are not listed
 GROUP_ROWS = 4_096
+WIDER = 1.6  # times the distance, for queries that are not done
+BLOCK_PAIRS = 10**10  # up to so many pairs, such queries meet all rows at once
 SEED = 11
 
 
@@ -120,9 +127,10 @@ def usable(vec: Column) -> Column:
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest found for each query row: query_id, rank, vec_id, score.
 
-    Candidates are all usable rows but the query's own id; ties go to smaller
-    ids; vectors of another length are never compared. Rows with a NULL id have
-    no part. Of a repeated (id, vector) one counts.
+    Candidates are all usable rows but the query's own id, and every query gets
+    k of them, or all if they are fewer; ties go to smaller ids; vectors of
+    another length are never compared. Rows with a NULL id have no part. Of a
+    repeated (id, vector) one counts.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -136,6 +144,29 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     entries = stored(entries.select(F.monotonically_increasing_id().alias("entry"), "vec", "ids"), "entries")
     asked = base.filter("__q").select("id", "vec").distinct()
     visitors = stored(asked.groupBy("vec").agg(F.min("id").alias("visitor")), "visitors")
+    listed, left = None, visitors
+    for step in (plan, replace(plan, width=plan.width * WIDER, distance=plan.distance * WIDER), None):
+        if listed is not None and step is not None and left.count() * entries.count() <= BLOCK_PAIRS:
+            continue
+        found = stored(_listed(entries, left, step, k), "found")
+        if step is not None:
+            # others within the planned distance; a visitor is an entry itself
+            done = found.filter(F.col("score") >= 1 - step.distance**2 / 2).groupBy("visitor").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > k)
+            done = stored(done.select("visitor"), "done")
+            found, left = found.join(done, "visitor", "left_semi"), stored(left.join(done, "visitor", "left_anti"), "left")
+        listed = found if listed is None else listed.unionByName(found)
+        if left.isEmpty():
+            break
+    # equal queries share a visitor; each leaves out its own id only
+    back = asked.join(visitors, "vec").select(F.col("id").alias("query_id"), "visitor")
+    mine = back.join(listed, "visitor").filter("query_id != vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return mine.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _listed(entries: DataFrame, visitors: DataFrame, plan: Plan | None, k: int) -> DataFrame:
+    """(visitor, score, vec_id), the k + 1 best found for each visitor; without
+    a plan all entries of its length are one bucket."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,16 +175,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 unit = _unit(np.stack([vectors[i] for i in at]))
-                for table in range(TABLES):
-                    cells = np.floor(plan.projected(unit, table))
-                    yield pd.DataFrame({"t": table, "bucket": _bucket(cells, size), "entry": batch["entry"].to_numpy()[at], "least": [batch["ids"].iloc[i][0] for i in at], "vec": [vectors[i] for i in at]})
+                for table in range(TABLES if plan else 1):
+                    bucket = _bucket(np.floor(plan.projected(unit, table)), size) if plan else size
+                    yield pd.DataFrame({"t": table, "bucket": bucket, "entry": batch["entry"].to_numpy()[at], "least": [batch["ids"].iloc[i][0] for i in at], "vec": [vectors[i] for i in at]})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for who, v in zip(batch["visitor"], _double(batch["vec"]), strict=True):
                 unit = _unit(v[None, :])
-                for table in range(TABLES):
-                    buckets = np.unique(_bucket(probes(plan.projected(unit, table)[0], plan), len(v)))
+                for table in range(TABLES if plan else 1):
+                    buckets = np.unique(_bucket(probes(plan.projected(unit, table)[0], plan), len(v))) if plan else [len(v)]
                     yield pd.DataFrame({"t": table, "bucket": buckets, "visitor": who})
 
     placed = stored(entries.mapInPandas(index, "t int, bucket long, entry long, least long, vec array<double>"), "buckets")
@@ -188,12 +219,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     merged = pairs.groupBy("visitor", "entry").agg(F.max("score").alias("score"))
     best = Window.partitionBy("visitor").orderBy(F.col("score").desc(), "vec_id")
     listed = merged.join(entries.select("entry", "ids"), "entry").select("visitor", "score", F.explode("ids").alias("vec_id"))
-    # equal queries share a visitor; each leaves out its own id only
-    listed = listed.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k + 1).drop("__n")
-    back = asked.join(visitors, "vec").select(F.col("id").alias("query_id"), "visitor")
-    mine = back.join(listed, "visitor").filter("query_id != vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return mine.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return listed.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k + 1).drop("__n")
 
 
 def _ranked(own: pd.DataFrame, asking: pd.DataFrame, k: int) -> list[pd.DataFrame]:
