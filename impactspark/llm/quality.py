@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from impactspark.llm import simhash
 from impactspark.llm.common import WORD, ship, stored, whole_text
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 LINE_LIMIT = 20  # documents with a line within a host
-MOST_ALIKE = 2  # only in `sql`, which still counts neighbourhoods
+NEAR_BITS = 2  # that link near copies
 LEAST_LEFT = 30  # percent of the words
 WINDOW = 3
 
@@ -92,12 +93,14 @@ NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 FACTS = ", ".join(f"{c} long" for c in NUMBERS) + ", copy_key long, lines array<struct<h: long, words: long>>"
 
 
-def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tuple[str, ...] = (), near: bool = False) -> DataFrame:
     """Per row: doc_id, the counts, base_failed, n_boilerplate_words, kept,
     `__frequent` (hashes of the lines to remove) and the columns in `carry`.
 
     A NULL text counts as empty and fails; NULL is a host of its own. Repeated
     rows are judged alike, and rows of the same lines count as one document.
+    With `near`, so do all rows of a class of near copies (fingerprints of
+    single words linked within two bits), whose common text is no boilerplate.
     """
     ship(docs.sparkSession)
 
@@ -106,10 +109,15 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tup
         for texts in batches:
             yield pd.DataFrame([facts(t) for t in texts], columns=[*NUMBERS, "copy_key", "lines"])
 
-    rows = docs.select("doc_id", F.col(host).alias("__host"), run(whole_text(text)).alias("__f"), *carry)
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "__host", *[F.col(f"__f.{c}") for c in NUMBERS], F.col("__f.copy_key").alias("__copy"), "__f.lines", *carry), "facts")
+    docs = simhash.fingerprints(docs, text, words=1, distinct=True) if near else docs
+    rows = docs.select("doc_id", F.col(host).alias("__host"), run(whole_text(text)).alias("__f"), *carry, *["fp"] * near)
+    copy = F.col("fp" if near else "__f.copy_key").alias("__copy")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "__host", *[F.col(f"__f.{c}") for c in NUMBERS], copy, "__f.lines", *carry), "facts")
     lines = rows.select("__row", "__copy", "__host", F.inline("lines")).withColumn("__key", F.xxhash64("__host", "h"))
     once = lines.select("__key", "__copy").distinct()
+    if near:
+        named = simhash.classes(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__copy").alias("fp")), NEAR_BITS)
+        once = once.join(stored(named, "near").withColumnRenamed("fp", "__copy"), "__copy").select("__key", F.col("root").alias("__copy")).distinct()
     frequent = once.groupBy("__key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > LINE_LIMIT).select("__key")
     # at most as many lines meet here as one document has
     gone = lines.join(frequent, "__key").groupBy("__row").agg(F.sum("words").alias("__gone"), F.collect_list("h").alias("__frequent"))
@@ -124,10 +132,11 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tup
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that are kept, without their frequent lines; `n_chars`, if
-    there, is counted anew where lines went. Same columns."""
+    there, is counted anew where lines went. Near copies count as one document,
+    so that a group of them stays for deduplication. Same columns."""
     rest = [c for c in docs.columns if c not in ("doc_id",)]
     names = {c: f"__c_{c}" for c in rest}
-    found = judged(docs.select("doc_id", *[F.col(f"`{c}`").alias(names[c]) for c in rest]), names["source"], names["text"], tuple(names.values()))
+    found = judged(docs.select("doc_id", *[F.col(f"`{c}`").alias(names[c]) for c in rest]), names["source"], names["text"], tuple(names.values()), near=True)
 
     @F.pandas_udf("string")
     def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -150,9 +159,8 @@ def drop_lines(text: str, hashes: set[int]) -> str:
 
 
 def sql() -> str:
-    """For DuckDB, with the lines themselves in place of their hashes. It counts
-    neighbourhoods of a line where `judged` counts documents, so the two differ
-    in `n_boilerplate_words` and `kept` where a line is frequent."""
+    """For DuckDB, with the lines themselves in place of their hashes, and a
+    document's sorted lines as its copy key."""
     upper, lower = (bytes(range(ord(c), ord(c) + 26)).decode() for c in "Aa")
     signs = SYMBOLS.decode()
     return f"""
@@ -167,10 +175,9 @@ lw AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS words, regexp_replac
   array_to_string(regexp_extract_all(line, '{WORD}'), ' '), '{upper}', '{lower}'), '[0-9]+', '0', 'g') AS norm
   FROM ln WHERE regexp_matches(line, '{WORD}')),
 dup AS (SELECT rid, count(*) AS n FROM (SELECT rid, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS k FROM lw) WHERE k > 1 GROUP BY rid),
-nb AS (SELECT *, coalesce(lag(norm) OVER o, '') || chr(10) || coalesce(lead(norm) OVER o, '') AS around FROM lw WINDOW o AS (PARTITION BY rid ORDER BY i)),
-once AS (SELECT rid, source, norm, arg_min(around, i) AS around, sum(words) AS words FROM nb GROUP BY rid, source, norm),
-freq AS (SELECT source, norm FROM once GROUP BY source, norm
-  HAVING count(DISTINCT around) > {LINE_LIMIT} AND count(DISTINCT around) * {MOST_ALIKE} >= count(*)),
+once AS (SELECT rid, source, norm, sum(words) AS words FROM lw GROUP BY rid, source, norm),
+copies AS (SELECT rid, list(norm ORDER BY norm) AS copy FROM once GROUP BY rid),
+freq AS (SELECT source, norm FROM once JOIN copies USING (rid) GROUP BY source, norm HAVING count(DISTINCT copy) > {LINE_LIMIT}),
 gone AS (SELECT rid, sum(words)::BIGINT AS n FROM once o JOIN freq f ON o.norm = f.norm AND o.source IS NOT DISTINCT FROM f.source GROUP BY rid),
 a AS (SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n_words,
   length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,

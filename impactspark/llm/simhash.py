@@ -262,7 +262,9 @@ def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3) -> DataFra
     """Per row of `docs` (doc_id, text): doc_id, fp, component_id.
 
     A component is all documents that links of at most `budget` differing bits
-    join; its id is the smallest doc_id in it. A NULL text is empty, an empty
+    join (a distinct fingerprint goes to 1 + d(d + 1)/2 blocks at depth d for two
+    bits, 191 at depth 19; the prefixes of full blocks, at most one in 65,536
+    fingerprints, come to the driver); its id is the smallest doc_id in it. A NULL text is empty, an empty
     one has fingerprint 0, and rows of equal fingerprint are one node, however
     many they are. Rows without doc_id get the component of the others, or NULL
     if there is none with an id.
@@ -305,7 +307,8 @@ def deduplicated(docs: DataFrame, budget: int = 2, words: int = 5, similarity: f
     rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
     named = stored(classes(rows.select(F.col("__id").alias("doc_id"), "fp"), budget), "classes")
     placed = rows.select("fp", "__row").join(named, "fp").select("root", "__row")
-    shared = placed.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("root")
+    # stored, so that the join below is by two plain shuffles and a hot class can be split
+    shared = stored(placed.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("root"), "shared")
     members = stored(placed.join(shared, "root"), "members")
 
     @F.pandas_udf("array<long>")
