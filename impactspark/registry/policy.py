@@ -12,18 +12,16 @@ from impactspark.plans.scenario import summarize_bills
 from impactspark.registry.base import INSTITUTIONS, SCENARIOS, outcome_sql, query
 from impactspark.registry.people import flat_summary, summary_sql
 from impactspark.sources import tables
-from impactspark.sources.folders import fresh_dir
+from impactspark.sources.folders import cut_lineage, fresh_dir
 from impactspark.streaming import watch
 
 _CASES = " ".join(
     f"WHEN {i} THEN replace('{s}', '{{}}', CAST(doc_id % 19 + 1 AS VARCHAR))" for i, s in enumerate(tables.SENTENCES)
 )
 BILLS = f"SELECT doc_id AS bill_id, text || ' ' || CASE doc_id % {len(tables.SENTENCES)} {_CASES} END AS text FROM documents"
-SPACE = r"[\t\n\x{0b}\f\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CLEAN = f"""SELECT bill_id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'Page [0-9]+ of [0-9]+', '', 'g'),
-  'Senate Bill [0-9]+|House Bill [0-9]+|Assembly Bill [0-9]+', '', 'g'), '{SPACE}+', ' ', 'g'), ' ') AS text FROM ({BILLS})"""
-MONEY = rf"(?i)\$[0-9,]+(?:\.[0-9]{{2}})?(?:{SPACE}*(?:million|billion|M|B))?"
-PERCENT = rf"(?i)([0-9]+(?:\.[0-9]+)?){SPACE}*(?:percent|%|percentage points?)"
+CLEAN = f"""SELECT bill_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '{fixed.PAGE_FOOTER}', '', 'g'),
+  '{fixed.BILL_HEADER}', '', 'g'), '{fixed.SPACE}+', ' ', 'g'), ' ') AS text FROM ({BILLS})"""
+MONEY, PERCENT = f"(?i){fixed.MONEY}", f"(?i){fixed.PERCENT}"
 
 
 def _amounts(text: str) -> str:
@@ -47,25 +45,18 @@ def _context(pattern: str, inner) -> str:
 
 
 FUNDING = _context(
-    "(?:funding|appropriation|budget|allocation).{0,100}(?:cut|reduce|decrease|increase|boost|raise|add)",
-    f"({_percents('c')})[1] * CASE WHEN regexp_matches(lower(c), 'cut|reduce|decrease|reduction') THEN -1 ELSE 1 END",
+    fixed.FUNDING_CONTEXT, f"({_percents('c')})[1] * CASE WHEN regexp_matches(lower(c), '{fixed.FUNDING_DOWN}') THEN -1 ELSE 1 END"
 )
-WAGE = _context(
-    "(?:minimum wage|min wage|wage).{0,100}(?:increase|raise|to|set to|change to)", f"({_amounts('c')})[1]"
-)
-CHILDCARE = _context(
-    "(?:childcare|child care|child-care).{0,100}(?:subsidy|grant|assistance|support)", f"({_amounts('c')})[1]"
-)
-CAP = f"CASE WHEN regexp_matches(text, '(?i)tuition cap|tuition limit|tuition increase limit') THEN ({_percents('text')})[1] END"
+WAGE = _context(fixed.WAGE_CONTEXT, f"({_amounts('c')})[1]")
+CHILDCARE = _context(fixed.CHILDCARE_CONTEXT, f"({_amounts('c')})[1]")
+CAP = f"CASE WHEN regexp_matches(text, '(?i){fixed.CAP_PHRASE}') THEN ({_percents('text')})[1] END"
 
 
 def _named(words):
     return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
-PUBLIC = _named(["public university", "public college", "state university"])
-PRIVATE = _named(["private university", "private college", "private institution"])
-COMMUNITY = _named(["community college"])
+PUBLIC, PRIVATE, COMMUNITY = (_named(fixed.TYPE_WORDS[t]) for t in ("public", "private", "community"))
 TYPES = f"""CASE WHEN {PUBLIC} OR {PRIVATE} OR {COMMUNITY} THEN list_filter([CASE WHEN {PUBLIC} THEN 'public' END,
   CASE WHEN {PRIVATE} THEN 'private' END, CASE WHEN {COMMUNITY} THEN 'community' END], lambda t: t IS NOT NULL)
   ELSE ['public', 'private', 'community'] END"""
@@ -235,7 +226,7 @@ def stream_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", tables.bill_text().alias("text"))
     docs.repartition(3, "doc_id").write.parquet(f"{base}/inbox")
     arriving = watch.table_bills(spark, f"{base}/inbox", docs.schema, "doc_id", "text", "*.parquet", files_per_batch=1)
-    people = tables.institutions(spark, folder).drop("min_wage")
+    people = cut_lineage(tables.institutions(spark, folder).drop("min_wage"))
     watch.watch(arriving, people, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return f"{base}/out"
 

@@ -112,7 +112,7 @@ def published_equity(spark, folder):
 def _snapshot(spark, folder):
     """The current folder after a run whose export has many part files."""
     base = fresh_dir(spark, "run")
-    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario", "description")
+    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario")
     people = tables.institutions(spark, folder).repartition(16, "institution_id")
     run_scenario(spark, "performance", policies, people, base)
     return sinks.current_folder(spark, base)
@@ -160,7 +160,7 @@ def run_status(spark, folder):
     """The newest status of each scenario after a good run, a failure, and one
     that failed before it went well."""
     base, people = fresh_dir(spark, "run"), tables.institutions(spark, folder)
-    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario", "description")
+    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario")
 
     def broken(df):
         raise ValueError("no predictions today")
@@ -205,7 +205,7 @@ _STATISTICS = " UNION ALL ".join(
 def scenario_reports(spark, folder):
     """A run with analysis: the statistics of its scenario, read back as JSON."""
     base = fresh_dir(spark, "run")
-    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario", "description")
+    policies = tables.catalogue(spark).filter("scenario = 'performance_based_funding'").drop("scenario")
     done = run_scenario(spark, "performance", policies, tables.institutions(spark, folder), base, analysis=True)
     rows = spark.read.json(done["statistics"]).filter(F.col("column").isin(*REPORTED))
     return rows.select(

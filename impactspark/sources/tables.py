@@ -91,6 +91,6 @@ def catalogue(spark: SparkSession) -> DataFrame:
     """The named what-if scenarios."""
     return spark.createDataFrame(
         [tuple(s) for s in fixed.SCENARIOS],
-        "scenario string, description string, funding_change_pct double, min_wage_change double, "
+        "scenario string, funding_change_pct double, min_wage_change double, "
         "childcare_subsidy double, tuition_cap_pct double, affected_types array<string>",
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +61,12 @@ def publish_batch(
 ) -> None:
     """Parameters, impact, equity and summary of one batch of bills.
 
-    Institutions meet the distinct policies of the batch: `impact` has one row
-    per policy and institution, `params` leads from a bill to its policy, and
-    `equity` and `summary` are per bill. Every output lies under its batch
+    Institutions meet the policies that no earlier batch has scored: `impact`
+    has one row per new policy and institution, `policy_equity` and
+    `policy_summary` what follows from them, `params` leads from a bill to its
+    policy, and `equity` and `summary` are per bill, from its own or an earlier
+    batch. So `out` belongs to one `master`, which should be a stored table, and
+    one `predict`. Every output lies under its batch
     number and is overwritten whole, so a batch that is repeated leaves the
     same files; the batch becomes the current one by a single row appended at
     the end. The scenario is the bill with the batch number.
@@ -85,12 +89,15 @@ def publish_batch(
     named = batch.withColumn("scenario", F.concat(F.col("bill_id"), F.lit(f"_{batch_id}")))
     try:
         params = store(with_policy_id(process_bills(named)), "params")
-        rows = store(scenario_impact(master, distinct_policies(params), predict), "impact")
+        fresh = store(unscored(spark, distinct_policies(params), out, batch_id), "policies")
+        rows = store(scenario_impact(master, fresh, predict), "impact")
         bills = params.select("scenario", "policy_id")
         equity = impact.equity_table(rows, ["policy_id"])
         summary = impact.plain_sentence(impact.impact_summary(rows, ["policy_id"]))
         for df, kind in ((equity, "equity"), (summary, "summary")):
-            store(bills.join(df, "policy_id"), kind)
+            store(df, f"policy_{kind}")
+            scored = published(spark, out, f"policy_{kind}").filter(F.col("batch_id") <= batch_id).drop("batch_id")
+            store(bills.join(scored, "policy_id"), kind)
         blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
         record(
             F.when(blank, "error").otherwise("success"),
@@ -103,6 +110,19 @@ def publish_batch(
     pointer.coalesce(1).write.mode("append").json(f"{out}/pointer")
 
 
+def unscored(spark: SparkSession, policies: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """The policies that no batch before this one has scored."""
+    if batch_id == 0:
+        return policies
+    try:
+        earlier = published(spark, out, "policies").filter(F.col("batch_id") < batch_id).select("policy_id")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return policies
+    return policies.join(earlier, "policy_id", "left_anti")
+
+
 def current(spark: SparkSession, out: str, kind: str) -> DataFrame:
     """A table of the newest batch that was published in whole."""
     pointers = spark.read.schema("batch_id long, timestamp string").json(f"{out}/pointer")

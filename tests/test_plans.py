@@ -17,7 +17,7 @@ def people(spark):
 
 def test_run_publishes_and_records(spark, people, tmp_path):
     out = str(tmp_path)
-    policies = tables.catalogue(spark).filter("scenario = 'min_wage_15'").drop("scenario", "description")
+    policies = tables.catalogue(spark).filter("scenario = 'min_wage_15'").drop("scenario")
     done = scenario.run_scenario(spark, "wage", policies, people, out, analysis=True)
     assert done["current_summary"].startswith(sinks.current_folder(spark, out))
     current = csv_reader(spark).csv(done["current_predicted_impact"])
@@ -92,10 +92,19 @@ def test_each_file_is_published_once(spark, people, tmp_path):
     assert set(summary) == {"first_0", "second_1"}
     current = watch.current(spark, f"{tmp_path}/out", "summary")
     assert {r.scenario for r in current.collect()} == {"second_1"}
+    put(inbox, "third.txt", "The funding falls 10 percent: this cut hits a community college again.")
+    put(inbox, "fourth.txt", "The budget has 7% to add for every private college.")
+    run(spark, inbox, people, tmp_path)
+    # the third asks for what the first did: one policy meets institutions, two bills are published
+    newest = lambda kind: watch.current(spark, f"{tmp_path}/out", kind)
+    assert newest("impact").select("policy_id").distinct().count() == newest("policies").count() == 1
+    assert {r.scenario for r in newest("summary").collect()} == {"third_2", "fourth_2"}
+    every = {r.scenario: r for r in spark.read.parquet(f"{tmp_path}/out/summary").collect()}
+    assert every["third_2"].total_students_impacted == every["first_0"].total_students_impacted
     pairs = watch.predictions(spark, f"{tmp_path}/out")
-    assert pairs.select("policy_id").distinct().count() == 2
+    assert pairs.select("policy_id").distinct().count() == 3
     runs = [(r.scenario, r.status) for r in spark.read.parquet(f"{tmp_path}/out/runs").collect()]
-    assert sorted(runs) == [("empty_1", "error"), ("first_0", "success"), ("second_1", "success")]
+    assert sorted(runs) == [("empty_1", "error"), ("first_0", "success"), ("fourth_2", "success"), ("second_1", "success"), ("third_2", "success")]
 
 
 def test_a_failing_batch_is_recorded(spark, people, tmp_path):
