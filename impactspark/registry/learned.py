@@ -6,7 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from impactspark import fixed
-from impactspark.operators import features, impact, learning, metrics, outcomes
+from impactspark.functions.exact import exact_mean
+from impactspark.operators import attribution, features, impact, learning, metrics, outcomes
 from impactspark.plans.scenario import model_predictor
 from impactspark.registry.base import INSTITUTIONS, MIXED, impact_sql, impact_view, query
 from impactspark.sources import tables
@@ -251,24 +252,61 @@ def split_counts(spark, folder):
     )
 
 
-# the same models with fewer trees, so that a check of all queries stays short
-SHORT = {name: {**config, "trees": 5} for name, config in fixed.MODELS.items()}
+_trained: dict[tuple[str, str], learning.Training] = {}
+
+
+def trained(spark, folder):
+    """The four models at full size, without folds; one training per
+    application and folder serves all queries below."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _trained:
+        _trained[key] = learning.train_models(training_rows(spark, folder), cv=False)
+    return _trained[key]
 
 
 @query("model_metrics")
 def model_metrics(spark, folder):
-    return learning.train_models(training_rows(spark, folder), SHORT, cv=False).metrics
+    return trained(spark, folder).metrics
 
 
 @query("model_importances")
 def model_importances(spark, folder):
-    return learning.train_models(training_rows(spark, folder), SHORT, cv=False).importances
+    return trained(spark, folder).importances
 
 
 @query("model_impact")
 def model_impact(spark, folder):
     """Trained on draws, then applied to every institution under one policy."""
-    trained = learning.train_models(training_rows(spark, folder), SHORT, cv=False).models
     rows = tables.institutions(spark, folder).withColumns(impact.policy_columns(**MIXED))
-    scored = impact.derived_metrics(model_predictor(trained)(rows))
+    scored = impact.derived_metrics(model_predictor(trained(spark, folder).models)(rows))
     return impact.equity_table(scored)
+
+
+@query("model_attributions")
+def model_attributions(spark, folder):
+    """How much each feature moves each prediction over all training rows."""
+    models = trained(spark, folder).models
+    ready, _ = features.prepare_features(training_rows(spark, folder), models.fitted)
+    names = [c.removeprefix("f_") for c in models.fitted.columns]
+    out = None
+    for name, model in models.models.items():
+        parts = model.models if isinstance(model, learning.ClassEnsemble) else {None: model}
+        for label, part in parts.items():
+            rows = attribution.mean_shares(ready, part, names).select(F.lit(name).alias("model"), F.lit(label).cast("string").alias("class"), "feature", "mean_abs_share")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("model_folds")
+def model_folds(spark, folder):
+    """The forest's five folds at full size: rows and score of each, from the
+    out-of-fold predictions. (Those of the boosted models take some minutes.)"""
+    config = fixed.MODELS["grad_rate"]
+    ready, _ = features.prepare_features(training_rows(spark, folder))
+    rows = ready.select("features", F.xxhash64(*[F.col(c) for c in ready.columns if c != "features"]).alias("_row_hash"), F.col(config["target"]).alias("label"))
+    table = learning.out_of_fold(rows.dropna(), config)
+    middle = F.sum((F.col("label") - F.col("mean")) ** 2)
+    means = table.groupBy("fold").agg(exact_mean("label").alias("mean"))
+    return table.join(means, "fold").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("predicted"), (1 - F.try_divide(F.sum((F.col("label") - F.col("prediction")) ** 2), middle)).alias("r2")
+    )

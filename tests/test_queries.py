@@ -16,7 +16,7 @@ import __spark_entry__ as driver
 FOLDER = "/root/testdata/sf0.001"
 SQL = driver.oracle_sql()
 # trained in test_learning
-TRAINED = {"model_metrics", "model_importances", "model_impact"}
+TRAINED = {"model_metrics", "model_importances", "model_impact", "model_attributions", "model_folds"}
 
 
 @pytest.fixture(scope="module")
