@@ -107,12 +107,13 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text", carry: tup
     @F.pandas_udf(FACTS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([facts(t) for t in texts], columns=[*NUMBERS, "copy_key", "lines"])
+            found = pd.DataFrame([facts(t) for t in texts], columns=[*NUMBERS, "copy_key", "lines"])
+            if near:  # in the same worker: a second one would hold the texts, too
+                found["copy_key"] = np.array([simhash.fingerprint(t, 1, True) for t in texts], np.uint64).view(np.int64)
+            yield found
 
-    docs = simhash.fingerprints(docs, text, words=1, distinct=True) if near else docs
-    rows = docs.select("doc_id", F.col(host).alias("__host"), run(whole_text(text)).alias("__f"), *carry, *["fp"] * near)
-    copy = F.col("fp" if near else "__f.copy_key").alias("__copy")
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "__host", *[F.col(f"__f.{c}") for c in NUMBERS], copy, "__f.lines", *carry), "facts")
+    rows = docs.select("doc_id", F.col(host).alias("__host"), run(whole_text(text)).alias("__f"), *carry)
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "__host", *[F.col(f"__f.{c}") for c in NUMBERS], F.col("__f.copy_key").alias("__copy"), "__f.lines", *carry), "facts")
     lines = rows.select("__row", "__copy", "__host", F.inline("lines")).withColumn("__key", F.xxhash64("__host", "h"))
     once = lines.select("__key", "__copy").distinct()
     if near:
