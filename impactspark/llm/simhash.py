@@ -286,6 +286,25 @@ def classes(marked: DataFrame, budget: int) -> DataFrame:
     return nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
 
 
+def one_of_each(docs: DataFrame, budget: int = 2, words: int = 3) -> DataFrame:
+    """`docs` (doc_id, text, ...) with one row of each component of
+    `near_duplicates`: that of the smallest doc_id, a row with one before rows
+    without, and of repeated rows any. Same columns.
+
+    A fingerprint's rows are reduced to their first before they meet its class,
+    and a class's fingerprints before the shuffle, so no group of copies comes
+    together; texts are shuffled once, to the rows that stay.
+    """
+    # the row itself in one column, so that no name of its own clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("doc_id").cast("long").alias("__id"))
+    rows = stored(fingerprints(rows, "__doc.text", words=words).withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
+    named = classes(rows.select(F.col("__id").alias("doc_id"), "fp"), budget)
+    order = F.struct(F.col("__id").isNull().alias("nameless"), F.col("__id").alias("id"), "__row")
+    firsts = rows.select("fp", order.alias("__first")).groupBy("fp").agg(F.min("__first").alias("__first"))
+    stay = firsts.join(named, "fp").groupBy("root").agg(F.min("__first").alias("__first")).select(F.col("__first")["__row"].alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select("__doc.*")
+
+
 def deduplicated(docs: DataFrame, budget: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` (doc_id, text, ...) with one row of each group of copies, by the
     smallest doc_id. Same columns.
