@@ -25,8 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group of copies stays: fingerprints of three-word
+    shingles linked within two bits, as the operator's query has them."""
+    return simhash.one_of_each(docs, budget=2, words=3)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
