@@ -286,5 +286,5 @@ t AS (SELECT part, filter_order, step, bit,
   sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
   sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
   FROM r GROUP BY part, filter_order, step, bit)
-SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM t
+SELECT * EXCLUDE (bit) REPLACE (CAST(step AS INTEGER) AS step), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM t
 """
