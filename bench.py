@@ -57,6 +57,8 @@ HEADLINES = (
     "feature_matrix",
     "split_counts",
     "regression_metrics",
+    "csv_split",
+    "dictionary_codes",
 )
 
 
