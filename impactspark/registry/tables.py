@@ -73,9 +73,10 @@ def _quoted(spark, folder):
     f"SELECT doc_id AS institution_id, {NAMES} AS name, n_chars AS enrollment FROM documents",
 )
 def csv_split(spark, folder):
-    """Texts with quotes and line breaks from one file, read by all its splits."""
+    """Texts with quotes and line breaks, written by as many tasks as read them;
+    every file is read by all its splits."""
     rows = _quoted(spark, folder)
-    path = sinks.write_csv(rows.coalesce(1), f"{fresh_dir(spark, 'quotes')}/names.csv")
+    path = sinks.write_csv(rows, f"{fresh_dir(spark, 'quotes')}/names.csv")
     return scan.with_key(split_csv.read_csv_split(spark, path, rows.schema))
 
 

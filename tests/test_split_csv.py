@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from impactspark.registry import ENTRIES
 from impactspark.sources import sinks
 from impactspark.sources.folders import fresh_dir
 from impactspark.sources.scan import read_csv
@@ -47,3 +48,13 @@ def test_small_files(spark, small_splits):
     for rows in ([], [(1, "a", 1.0, "b")]):
         path = sinks.write_csv(spark.createDataFrame(rows, SCHEMA), f"{folder}/{len(rows)}.csv")
         assert [tuple(r) for r in read_csv_split(spark, path, SCHEMA).collect()] == rows
+
+
+def test_query_writes_by_all_tasks(spark, small_splits):
+    """The query's files are written by the tasks that read the documents, not by one."""
+    folder = fresh_dir(spark, "docs")
+    docs = spark.createDataFrame([(i, f"line\n{i} " * 50, 400) for i in range(1, 201)], "doc_id long, text string, n_chars long")
+    docs.repartition(4, "doc_id").write.parquet(f"{folder}/documents.parquet")
+    found = ENTRIES["csv_split"].run(spark, folder)
+    assert found.count() == 200
+    assert len([f for f in found.inputFiles() if "names.csv" in f]) > 1
