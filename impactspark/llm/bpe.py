@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from impactspark.llm.common import Memo, ship, whole_text
 NEVER = 1 << 30
 END = 256  # the symbol after the last byte of a word
 TABLE_ROWS = 2_000_000  # arcs a worker keeps looked up
+PORTION = 256  # texts a worker holds as strings, with their codes
+PORTION_BYTES = 1_000_000  # from this size of texts on, fewer
 
 
 def byte_letters() -> list[str]:
@@ -213,6 +215,14 @@ def codec(text: str) -> Codec:
     return _codecs[key]
 
 
+def portions(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch of texts. A batch has rows by the thousand: as strings,
+    ids and decoded texts at once it would be many times its size."""
+    each = max(1, min(PORTION, PORTION_BYTES * len(batch) // max(batch.nbytes, 1)))
+    for at in range(0, len(batch), each):
+        yield batch.slice(at, each)
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add `ids` (binary, little-endian unsigned 32-bit) and, if named, `decoded`.
 
@@ -225,13 +235,16 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     # a vocabulary file: its size does not depend on the data
     shared = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
-    @F.pandas_udf("ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    @F.arrow_udf("ids binary, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = codec(shared.value)
-        for texts in batches:
-            out = [codes.encode(t) for t in texts]
-            back = [codes.decode(x) for x in out] if decoded else None
-            yield pd.DataFrame({"ids": out, "decoded": back})
+        for batch in batches:
+            for texts in portions(batch):
+                out = [codes.encode(t) for t in texts.to_pylist()]
+                back = [codes.decode(x) if decoded else None for x in out]
+                yield pa.StructArray.from_arrays([pa.array(out, kind[0].type), pa.array(back, kind[1].type)], fields=list(kind))
 
     made = docs.withColumn("__codes", run(whole_text(text)))
     columns = [c for c in docs.columns if c not in (ids, decoded)]

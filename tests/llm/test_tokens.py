@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -57,6 +58,15 @@ def test_random_texts_equal_the_library(library, codes):
         assert codes.encode(text) == binary(library.encode(text, add_special_tokens=False).ids), text
 
 
+def test_a_batch_is_encoded_in_portions():
+    """A worker holds some hundred texts with their codes, not a batch of thousands."""
+    batch = pa.array([f"text {i}" for i in range(2000)] + ["long " * 500_000] * 3)
+    cut = list(bpe.portions(batch))
+    assert pa.concat_arrays(cut).equals(batch) and max(map(len, cut)) <= bpe.PORTION
+    assert max(len(c) for c in bpe.portions(batch[1900:])) <= 15
+    assert list(bpe.portions(batch[:0])) == [] and [len(c) for c in bpe.portions(batch[2000:])] == [1, 1, 1]
+
+
 def test_documents(spark, awkward, no_docs, some_docs, library):
     for docs in (awkward, some_docs):
         got = sorted(map(tuple, bpe.digests(docs, PATH).collect()), key=str)
