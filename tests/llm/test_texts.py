@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from impactspark.llm import html, lsh, mixing, nbsvm, quality, secrets, warc
 from impactspark.llm.files import opened, written
@@ -257,6 +258,26 @@ def test_secrets_held_out(spark, awkward, no_docs, some_docs):
     assert secrets.scan(no_docs, secrets.train(no_docs)).collect() == []
 
 
+def test_secrets_are_learned_from_every_document(spark):
+    """Findings in the last of 4,200 documents by hash count as those in the first."""
+    ids = spark.range(4200).withColumnRenamed("id", "doc_id")
+    late = ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[4050:]
+    value = lambda i: hashlib.sha256(str(i).encode()).hexdigest().upper()[: 30 + i % 9]
+    rows = [(r.doc_id, f"some token = {value(r.doc_id)} and more words") for r in late]
+    texts = ids.join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "left")
+    assert secrets.labelled(texts).select("doc").distinct().count() == 150
+    with_them, without = secrets.train(texts), secrets.train(texts.withColumn("text", F.lit("")))
+    assert not all((a == b).all() for a, b in zip(with_them.parts(), without.parts(), strict=True))
+    in_shares = secrets.fitted(secrets.labelled(texts), 3, *_made_up_windows(60))
+    again = secrets.fitted(secrets.labelled(texts.repartition(5)), 3, *_made_up_windows(60))
+    assert all((a == b).all() for a, b in zip(in_shares.parts(), again.parts(), strict=True))
+
+
+def _made_up_windows(n):
+    made = secrets._made_up(n)
+    return np.stack([secrets.windows(t, s, e)[0] for t, s, e, _ in made]), np.array([y for *_, y in made])
+
+
 def plain_facts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
