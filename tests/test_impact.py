@@ -150,3 +150,13 @@ def test_export_order_and_fill(spark):
     assert tuple(out.first()) == (1, "N", "Unknown", 0.0, 5.0, 0.0)
     contract = {r["column"]: r.present for r in sinks.missing_output_columns(out).collect()}
     assert contract["longitude"] is False and contract["name"] is True
+
+
+def test_institutions_of_one_partition_meet_policies_in_many_tasks(spark, monkeypatch):
+    people = spark.range(200).select(F.col("id").alias("institution_id"), F.lit("Community College").alias("institution_type")).coalesce(1)
+    policies = spark.range(30).select(F.col("id").alias("policy_id"), F.array(F.lit("community")).alias("affected_types"))
+    pairs = impact.attach_policies(people, policies)
+    assert pairs.rdd.getNumPartitions() == impact.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert pairs.count() == pairs.distinct().count() == 200 * 30
+    monkeypatch.setattr(impact, "TASK_PAIRS", 100)
+    assert impact.attach_policies(people, policies).rdd.getNumPartitions() == 60
