@@ -122,6 +122,19 @@ def test_a_failing_batch_is_recorded(spark, people, tmp_path):
     assert [r.status for r in spark.read.parquet(f"{tmp_path}/runs").collect()] == ["success"]
 
 
+def test_bills_of_one_part_are_read_by_many_tasks(spark, people, tmp_path):
+    rows = [(f"b{i}", "b.parquet", f"The budget has {i % 3}% to add. Bill {i}.") for i in range(300)] + [(None, None, None)]
+    batch = spark.createDataFrame(rows, "bill_id string, source_name string, text string").coalesce(1)
+    watch.publish_batch(batch, 0, people, str(tmp_path))
+    params = spark.read.parquet(f"{tmp_path}/params")
+    assert params.select("_metadata.file_path").distinct().count() >= spark.sparkContext.defaultParallelism
+    assert params.count() == 301
+    assert {r.policy_id: r.funding_change_pct for r in params.collect() if r.scenario} == {
+        r.policy_id: r.funding_change_pct for r in spark.read.parquet(f"{tmp_path}/policies").collect()
+    }
+    assert spark.read.parquet(f"{tmp_path}/summary").count() == 300
+
+
 def test_bills_share_their_policies(spark, people):
     texts = ["The funding falls 10 percent, a cut for each community college.", "Funding is cut by 10 percent at a community college.", None, "Nothing."]
     bills = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "bill_id long, text string")
