@@ -160,3 +160,32 @@ def test_institutions_of_one_partition_meet_policies_in_many_tasks(spark, monkey
     assert pairs.count() == pairs.distinct().count() == 200 * 30
     monkeypatch.setattr(impact, "TASK_PAIRS", 100)
     assert impact.attach_policies(people, policies).rdd.getNumPartitions() == 60
+
+
+def test_the_best_of_a_group_are_found_without_sorting_it(spark):
+    nan = float("nan")
+    size = {
+        "ties": lambda i: 0.0 if i % 2 else -0.0,
+        "falling": lambda i: -float(i),
+        "odd": lambda i: nan if i < 4 else None if i % 2 else float(i % 50),
+        None: lambda i: float(i % 7),
+    }
+    rows = [(g, i if i % 97 else None, f"n{i}", f(i)) for g, f in size.items() for i in range(5000)]
+    rows += [("few", i, f"n{i}", 1.0) for i in range(4)] + [("same", 1, "n", 2.0)] * 30
+    df = spark.createDataFrame(rows, "g string, institution_id long, name string, tuition_change_dollars double").repartition(5)
+    listed = lambda d: sorted(map(str, impact.top_per_group(d, ["g"]).drop("affected_rank").collect()))
+    near = impact.near_top(df, ["g"])
+    assert listed(near) == listed(df)
+    assert near.count() < df.count() / 4
+    text = df.withColumn("institution_id", F.col("institution_id").cast("string"))
+    assert listed(impact.near_top(text, ["g"])) == listed(text)
+    every = df.withColumns({"students_affected": F.lit(1.0), "equity_risk_class": F.lit("Low")})
+    found = [sorted(map(str, impact.impact_summary(every, ["g"], few=few).collect())) for few in (False, True)]
+    assert found[0] == found[1]
+
+
+def test_no_policy_moves_no_institution(spark, people):
+    none = spark.createDataFrame([], "policy_id long, affected_types array<string>")
+    pairs = impact.attach_policies(people, none)
+    assert pairs.count() == 0
+    assert pairs.rdd.getNumPartitions() <= people.rdd.getNumPartitions()
