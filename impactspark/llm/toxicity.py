@@ -332,14 +332,16 @@ def with_spelling(terms: list[Term], found: Iterable[tuple[str, int, int]], ups:
 
 
 def _counts(of: Callable[[str], Iterable[str]]) -> Callable:
-    """A counter per task of what `of(text)` gives, as rows (what, n)."""
+    """A counter per task of what `of(text)` gives, as rows (what, n); a task
+    without any gives no batch, since empty columns have no type of their own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
                 seen.update(of(text))
-        yield pd.DataFrame({"what": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"what": list(seen), "n": list(seen.values())})
 
     return run
 

@@ -193,3 +193,11 @@ def test_toxicity(spark, awkward, no_docs):
 
 def test_audit_query_names():
     assert {"op11_filter_audit", "op12_merkle_manifest"} <= set(queries.ORACLES) and "op13_levenshtein_lexicon" in queries.QUERIES
+
+
+def test_counts_of_tasks_that_find_nothing(spark):
+    """A task of no rows, or of texts without any find, adds nothing and does not fail."""
+    rows = spark.createDataFrame([("a b",), ("",), ("b",)], "text string").repartition(8)
+    assert toxicity._sums(rows, str.split) == {"a": 1, "b": 2}
+    assert toxicity._sums(rows, lambda text: ()) == {}
+    assert toxicity._sums(rows.limit(0), str.split) == {}
