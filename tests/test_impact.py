@@ -189,3 +189,28 @@ def test_no_policy_moves_no_institution(spark, people):
     pairs = impact.attach_policies(people, none)
     assert pairs.count() == 0
     assert pairs.rdd.getNumPartitions() <= people.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("dropped", [(), ("name", "tuition_change_pct", "pct_minority")])
+def test_one_pass_gives_equity_and_summary(spark, dropped):
+    """The pairs of a batch are added once: both tables follow from the totals,
+    with the bits that each has from rows of its own."""
+    nan, inf = float("nan"), float("inf")
+    classes = ["High", "Low", None, "Medium", "odd"]
+    rows = [
+        (f"p{i % 7}", None if i % 41 == 0 else i % 97, f"n{i % 5}", classes[i % 5], 0.1 * i, None if i % 7 == 3 else (inf if i == 77 else -7.3 / (i + 1)),
+         1e17 if i == 55 else i / 3, nan if i == 12 else 1.0 * i, None if i % 2 else i / 7, 30.0 + i % 40, None if i % 11 == 0 else 25.0 + i % 60)
+        for i in range(500)
+    ]
+    schema = "policy_id string, institution_id long, name string, equity_risk_class string, " + ", ".join(
+        f"{c} double" for c in (*impact.MEASURES, "pct_minority", "pct_low_income")
+    )
+    df = spark.createDataFrame(rows, schema).repartition(5).drop(*dropped)
+    for part in (df, df.limit(0)):
+        totals = impact.class_totals(part, ["policy_id"])
+        one, two = impact.equity_from_totals(totals, ["policy_id"]), impact.summary_from_totals(totals, part, ["policy_id"], few=True)
+        old = impact.equity_table(part, ["policy_id"]), impact.impact_summary(part, ["policy_id"], few=True)
+        for new, was in zip((one, two), old, strict=True):
+            assert [(f.name, f.dataType) for f in new.schema] == [(f.name, f.dataType) for f in was.schema]
+            assert sorted(map(str, new.collect())) == sorted(map(str, was.collect()))
+    assert "equity_risk_class" in totals.columns and one.count() == 0

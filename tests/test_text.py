@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from impactspark import fixed
 from impactspark.functions import text as tx
 from impactspark.operators import bills
 
@@ -102,3 +103,41 @@ def test_overrides_touch_unsure_bills_only(spark):
     assert rows[1].funding_change_pct == 3.0 and rows[1].confidence_score == 85.0
     assert rows[1].affected_types == ["public", "private", "community"]
     assert rows[4].funding_change_pct == -5.0 and rows[4].extraction_method == "rule_based"
+
+
+def test_texts_are_searched_once_and_from_the_first_word_on(spark):
+    """Parameters are those of patterns over the whole text, though the patterns
+    begin at the first word they need, and types are looked for once."""
+    pad = "Σς ſtraße 🙂 K 𝒳 " * 3
+    texts = [
+        f"{pad}FUNDING for all: a cut of 4%, then {pad} budget raise by 7 percent",
+        f"{pad}MINIMUM WAGE of $9.50 set to rise; min wage $8 to $7 increase", f"{pad}wage {pad} to $3", "wage $2 to",
+        f"{pad}child care $40 and $50 as grant {pad} CHILDCARE of $2 million support", f"3% {pad} Tuition Cap of 5%", "tuition  cap 5%",
+        "\u0130 m\u0131n\u0131mum wage $1 to; fund\u0131ng falls 9% cut", f"{pad}ch\u0131ldcare $6 grant; FUND\u0130NG 3% add", "", None, pad,
+        f"{pad}Community College and public university", "wage " * 30 + "$5 to", f"{pad}minimum wage{' ' * 120}$1 to minimum wage $2 to",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "bill_id int, text string")
+    t = F.col("text")
+
+    def first(context, value):
+        return F.get(F.array_compact(F.transform(tx.matches(t, context), value)), F.lit(0))
+
+    def signed(m):
+        size = F.abs(F.get(tx.percentages(m), F.lit(0)))
+        return F.when(F.lower(m).rlike(fixed.FUNDING_DOWN), -size).otherwise(size)
+
+    def amount(m):
+        return F.get(tx.money_amounts(m), F.lit(0))
+
+    whole = df.select(
+        "bill_id",
+        first(fixed.FUNDING_CONTEXT, signed).alias("funding_change_pct"),
+        first(fixed.WAGE_CONTEXT, amount).alias("min_wage_change"),
+        first(fixed.CHILDCARE_CONTEXT, amount).alias("childcare_subsidy"),
+        F.when(t.rlike(tx.FLAGS + fixed.CAP_PHRASE), F.get(tx.percentages(t), F.lit(0))).alias("tuition_cap_pct"),
+    )
+    found = bills.extract(df)
+    assert sorted(map(str, found.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert whole.filter("funding_change_pct is not null").count() >= 2 and whole.filter("min_wage_change is not null").count() >= 4
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("community college") == 1 and plan.count("\u0130") == 1
