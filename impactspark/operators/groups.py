@@ -108,9 +108,12 @@ def state_lod(df: DataFrame) -> DataFrame:
 
 
 def rank_groups(df: DataFrame, by: str, measure: str) -> DataFrame:
-    """Groups ranked by a summed measure, equal sums sharing a rank."""
+    """Groups ranked by a summed measure, equal sums sharing a rank: to 15
+    digits, as many as a double keeps of a decimal number."""
     totals = df.groupBy(by).agg(exact_sum(measure).alias("total"))
-    return with_rank(totals, F.col("total"), "impact_rank")
+    total = F.col("total")
+    told = F.when(total.isNotNull(), F.format_string("%.14e", total)).cast("double")
+    return with_rank(totals, told, "impact_rank")
 
 
 def compare_scenarios(df: DataFrame, scenario_col: str = "scenario") -> DataFrame:
